@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import encode_documents
 from .common import prepare, read_table
+from .neardup import near_duplicates
+from .ngram_join import jaccard_components
 from .sharding import interleave_shards
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -24,9 +26,21 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return jaccard_components(read_table(spark, sf_dir, "documents"), k=5, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
+    "op3_embedding_neardup": op3_embedding_neardup,
+    "op6_ngram_join": op6_ngram_join,
 }
 
 ORACLE: dict[str, str] = {}
