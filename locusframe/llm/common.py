@@ -10,6 +10,7 @@ import os
 import tempfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Folder that holds the package, for Python workers started elsewhere.
@@ -61,3 +62,14 @@ def held_out(id_col: Column) -> Column:
 def learnable(id_col: Column) -> Column:
     """True for ids that may be learned from; null ids may not."""
     return F.coalesce(crc_of_id(id_col) % 4 != 2, F.lit(False))
+
+
+def filter_batches(docs: DataFrame, column: str, mask) -> DataFrame:
+    """Rows of ``docs`` for which ``mask(column of a batch)`` is true; all columns pass unchanged, nothing is shuffled."""
+    at = docs.columns.index(column)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(mask(batch.column(at))))
+
+    return docs.mapInArrow(run, docs.schema)

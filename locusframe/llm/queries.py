@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import langid, quality, toxicity
 from .bpe import encode_documents
-from .common import prepare, read_table
+from .common import held_out, prepare, read_table
+from .decontam import find_leaks
+from .html import extract_pages
 from .neardup import near_duplicates
 from .ngram_join import jaccard_components
+from .rollup import TokenRollup, corpus_totals
 from .sharding import interleave_shards
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -31,16 +35,58 @@ def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_totals(read_table(spark, sf_dir, "documents"), TokenRollup.temporary(spark))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return jaccard_components(read_table(spark, sf_dir, "documents"), k=5, percent=80)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    found = toxicity.score_documents(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")), threshold=0.3)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=5, coverage=0.5)
+    return found.drop("tiles")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    found = quality.score_documents(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")), threshold=0.7)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_passages")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_bpe": op2_bpe,
     "op3_embedding_neardup": op3_embedding_neardup,
+    "op4_token_counts": op4_token_counts,
+    "op5_html_extraction": op5_html_extraction,
     "op6_ngram_join": op6_ngram_join,
+    "op7_language_id": op7_language_id,
+    "op8_toxicity": op8_toxicity,
+    "op9_decontamination": op9_decontamination,
+    "op10_quality": op10_quality,
 }
 
 ORACLE: dict[str, str] = {}

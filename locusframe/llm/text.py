@@ -28,8 +28,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
+#: Bytes that part words where only letters and digits count.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _VALUE = _splitmix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))[_FOLD]
-_VALUE[_SPACE] = 0
 _STEP = 0xD6E8FEB86659FD93
 _SHINGLE = _U(0xA0761D6478BD642F)
 _powers = np.ones(1, _U)
@@ -58,22 +60,25 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, end_bits: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, byte after the last) of every word, and the word offsets of the rows."""
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, byte after the last) of every word, and the word offsets of the rows.
+
+    ``apart`` marks the byte values that part words.
+    """
     hashes, firsts, lasts = [], [], []
     cuts = np.zeros(len(data) + 1, bool)
     cuts[offsets] = True
     at, total = 0, len(data)
     while at < total:
         to = min(at + SLICE, total)
-        while to < total and not (_SPACE[data[to - 1]] or cuts[to]):  # a slice ends where no word runs on
+        while to < total and not (apart[data[to - 1]] or cuts[to]):  # a slice ends where no word runs on
             window = data[to : to + 4096]
-            stop = np.flatnonzero(_SPACE[window] | cuts[to : to + len(window)])
+            stop = np.flatnonzero(apart[window] | cuts[to : to + len(window)])
             to += int(stop[0]) if len(stop) else len(window)
             if len(stop):
                 break
         part = data[at:to]
-        inside = ~_SPACE[part]
+        inside = ~apart[part]
         fresh = cuts[at:to].copy()
         fresh[0] = True
         starts = inside.copy()
@@ -86,7 +91,7 @@ def words(data: np.ndarray, offsets: np.ndarray, end_bits: bool = False) -> tupl
             spans = np.diff(np.append(first, len(part)))
             lead = first[0]
             place = np.arange(lead, len(part)) - np.repeat(first, spans)
-            value = _VALUE[part[lead:]] * _power_table(int(spans.max()))[place]
+            value = np.where(inside[lead:], _VALUE[part[lead:]], _U(0)) * _power_table(int(spans.max()))[place]
             hashes.append(_splitmix(np.add.reduceat(value, first - lead) + (last - first).astype(_U)))
             firsts.append(first + at)
             lasts.append(last + at)
@@ -98,6 +103,17 @@ def words(data: np.ndarray, offsets: np.ndarray, end_bits: bool = False) -> tupl
     return np.concatenate(hashes), first, np.concatenate(lasts), np.searchsorted(first, offsets)
 
 
+def prefix_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the first ``n`` bytes of every word; shorter words give that of the whole, salted by length."""
+    out = np.minimum(last - first, n).astype(_U)
+    power = _power_table(n)
+    for j in range(n):
+        at = first + j
+        ok = at < last
+        out[ok] += _VALUE[data[at[ok]]] * power[j]
+    return _splitmix(out ^ _U(0x2545F4914F6CDD1D))
+
+
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of ``k`` words: run i starts at word i."""
     n = len(hashes) - k + 1
