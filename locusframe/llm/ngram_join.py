@@ -6,6 +6,9 @@ a shingle within their prefixes. Documents with equal sets collapse to one
 node; nodes with identical prefixes and sizes collapse to one group; group
 pairs that meet in a posting list pass the size and position filters, are
 expanded to their members, and every pair of members is verified on whole sets.
+Before sets are sent anywhere, pairs are compared by parity bitmaps of about a
+bit a shingle: sets differ in at least as many shingles as their bitmaps in
+bits, so a pair that this rules out cannot link.
 
 No posting list is paired with itself: first every list links its members to
 one leader, and what is verified there forms components; then only pairs of
@@ -108,8 +111,29 @@ class PrefixOrder:
         return np.concatenate([first, last[: length - len(first)]])
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Bitmap as 64-bit words: bit ``b`` is the parity of the shingles with low bits ``b``."""
+    bits = max(64, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+#: Folds the longer of two bitmaps in half; sizes that may link are never further apart.
+_FOLD = "case when size({a}) > size({b}) then zip_with(slice({a}, 1, size({b})), slice({a}, size({b}) + 1, size({b})), (x, y) -> x ^ y) else {a} end"
+
+
+def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps do not rule them out, and whose sizes allow the threshold."""
+    left = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu"))
+    right = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv"))
+    both = pairs.select("u", "v").join(left, "u").join(right, "v").filter(f"{percent} * greatest(nu, nv) <= 100 * least(nu, nv)")
+    apart = f"aggregate(zip_with({_FOLD.format(a='bu', b='bv')}, {_FOLD.format(a='bv', b='bu')}, (x, y) -> bit_count(x ^ y)), 0, (a, x) -> a + x)"
+    # difference <= sizes - 2 * overlap, and overlap >= percent / (100 + percent) * sizes
+    return both.filter(f"{100 + percent} * {apart} <= {100 - percent} * (nu + nv)").select("u", "v")
+
+
 def _profiles(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, order) -> DataFrame:
-    """(id, n, node, g, prefix) of every row."""
+    """(id, n, node, g, prefix, bits) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +141,7 @@ def _profiles(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
         for batch in batches:
             start = 0
             for sets in _sets(batch, 1, k):
-                n, node, g, prefix = [], [], [], []
+                n, node, g, prefix, bits = [], [], [], [], []
                 for s in sets:
                     size = len(s)
                     n.append(size)
@@ -125,18 +149,20 @@ def _profiles(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
                         node.append(None)
                         g.append(None)
                         prefix.append(None)
+                        bits.append(None)
                         continue
                     p = by.prefix(s, size - -(-percent * size // 100) + 1)
                     node.append(_hash(s.tobytes()))
                     g.append(_hash(p.tobytes() + size.to_bytes(8, "little")))
                     prefix.append(p.view(np.int64))
+                    bits.append(parity(s))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(sets)), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(g, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                    ["id", "n", "node", "g", "prefix"],
+                    [batch.column(0).slice(start, len(sets)), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(g, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                    ["id", "n", "node", "g", "prefix", "bits"],
                 )
                 start += len(sets)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n bigint, node bigint, g bigint, prefix array<bigint>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n bigint, node bigint, g bigint, prefix array<bigint>, bits array<bigint>")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
@@ -175,7 +201,7 @@ def link_nodes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
     order = spark.sparkContext.broadcast(frequent_shingles(docs, text_col, k))
     profiles = cut(_profiles(docs, id_col, text_col, k, percent, order))
     held = profiles.filter("n > 0")
-    nodes = cut(held.groupBy("node").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("g").alias("g")))
+    nodes = cut(held.groupBy("node").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("bits").alias("bits")))
     groups = held.groupBy("g").agg(F.min("node").alias("lead"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
     # Posting lists of more than one group, with their leader.
@@ -187,7 +213,7 @@ def link_nodes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
     )
     starred = shared.alias("x").filter(f"g <> first.g and {_may_link('x', 'first', percent)}").selectExpr("least(lead, first.lead) u", "greatest(lead, first.lead) v")
     inside = nodes.join(nodes.groupBy("g").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("many")).filter("many > 1"), "g")
-    pairs = cut(starred.unionByName(inside.filter("node <> lead").selectExpr("lead u", "node v")).distinct())
+    pairs = cut(_plausible(starred.unionByName(inside.filter("node <> lead").selectExpr("lead u", "node v")).distinct(), nodes, percent))
     links = _verified(pairs, nodes, docs, id_col, text_col, k, percent)
     parts = cut(connected_components(links))
 
@@ -201,7 +227,7 @@ def link_nodes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
     lists = cut(lists.join(mixed, "token"))
     a, b = lists.filter("c <> big").alias("a"), lists.alias("b")
     rest = a.join(b, F.expr(f"a.token = b.token and a.c <> b.c and (b.c = b.big or a.node < b.node) and {_may_link('a', 'b', percent)}")).selectExpr("least(a.node, b.node) u", "greatest(a.node, b.node) v").distinct()
-    rest = cut(rest.join(pairs, ["u", "v"], "left_anti"))
+    rest = cut(_plausible(rest, nodes, percent).join(pairs, ["u", "v"], "left_anti"))
     if rest.isEmpty():
         return profiles, nodes, parts
     more = _verified(rest, nodes, docs, id_col, text_col, k, percent)
