@@ -21,21 +21,19 @@ from locusframe.llm.decontam import drop_leaks
 from locusframe.llm.ngram_join import keep_one_per_component
 from locusframe.llm.text import row_blocks, utf8
 
-#: Below this score of language ID a text is in no learned language.
-LEAST_LANGUAGE_SCORE = 0.02
 #: From this score on a document is toxic.
 TOXIC = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language. Null texts, texts without a letter, and texts that no language fits go."""
+    """Documents with a language. Null texts and texts without a letter go."""
     shared = prepare(spark).sparkContext.broadcast(langid.fit(docs))
 
     def speaks(column: pa.Array) -> np.ndarray:
         keep = np.zeros(len(column), bool)
         for start in range(0, len(column), 2048):
-            lang, score = shared.value.predict(column.slice(start, 2048).to_pylist())
-            keep[start : start + len(lang)] = [p != "und" and s >= LEAST_LANGUAGE_SCORE for p, s in zip(lang, score, strict=True)]
+            lang, _ = shared.value.predict(column.slice(start, 2048).to_pylist())
+            keep[start : start + len(lang)] = [p != "und" for p in lang]
         return keep
 
     return filter_batches(docs, "text", speaks)
