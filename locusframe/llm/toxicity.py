@@ -25,9 +25,11 @@ from .common import learnable, prepare
 from .text import NOT_ALNUM, prefix_hashes, row_blocks, utf8, words
 
 #: Labelled documents a class that fit the model at most.
-DOCS = 4000
+DOCS = 2500
 #: Longest document that is fitted on.
-DOC_BYTES = 20_000
+DOC_BYTES = 8_000
+#: Bytes of text that the fit describes at once.
+FIT_BLOCK = 1 << 19
 #: Features that the model holds at most.
 FEATURES = 1 << 15
 PREFIXES = (4, 5, 6)
@@ -117,8 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     order = F.md5(F.concat(F.lit("tox:"), F.col("_id").cast("string")).cast("binary"))
     chosen = None
-    for y in (0, 1):  # 2 * most ids a class at most, of which some are too long or missing
-        part = known.filter(F.col("_y") == y).distinct().orderBy(order, "_id").limit(2 * most)
+    for y in (0, 1):  # 1.5 * most ids a class at most, of which some are too long or missing
+        part = known.filter(F.col("_y") == y).distinct().orderBy(order, "_id").limit(most + most // 2)
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.filter(F.octet_length(text_col) <= DOC_BYTES).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     table = rows.join(F.broadcast(chosen), "_id").withColumn("_h", order).orderBy("_h", "_text").select("_y", "_text").toArrow()
@@ -128,13 +130,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     keep = np.sort(np.concatenate([np.flatnonzero(y == c)[:most] for c in (0, 1)]))
     y = y[keep]
     data, offsets = utf8(table["_text"].take(pa.array(keep)))
-    hashes, owner, first, _, of_row = features(data, offsets)
-    bag = np.repeat(np.arange(len(y)), np.diff(of_row))
-    # Features by the documents of each class that hold them.
-    pair = _distinct(hashes, bag[owner])
-    keys, where = np.unique(pair[:, 0], return_inverse=True)
-    toxic = y[pair[:, 1].astype(np.int64)] > 0
-    pos, neg = np.bincount(where, toxic, len(keys)), np.bincount(where, ~toxic, len(keys))
+    del table
+    # Features by the toxic documents that hold them, then by the others; in blocks, so that little is held.
+    keys, pos = _document_counts(data, offsets, y > 0)
+    keys, pos = keys[pos >= 3], pos[pos >= 3]
+    if not len(keys):
+        return Model(np.zeros(1, np.uint64), np.zeros(1), float(np.log(share[1] / (share[0] + share[1]))))
+    seen, count = _document_counts(data, offsets, y == 0, Model(keys, np.zeros(len(keys)), 0.0))
+    neg = np.zeros(len(keys), np.int64)
+    neg[np.searchsorted(keys, seen)] = count
     weight = np.where(y > 0, share[1] / max(1, (y > 0).sum()), share[0] / max(1, (y == 0).sum()))
     lift = (pos + 0.1) / (y > 0).sum() / ((neg + 0.5) / (y == 0).sum())
     able = np.flatnonzero((pos >= 3) & (lift >= 4))
@@ -142,16 +146,38 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not len(able):
         return Model(np.zeros(1, np.uint64), np.zeros(1), float(np.log(share[1] / (share[0] + share[1]))))
     model = Model(keys[able], np.zeros(len(able)), 0.0)
-    place, key = model.hits(hashes)
-    model.weights, model.bias = _train(owner[place], key, len(able), bag, len(y), y, weight)
+    sentence, feature, bags, total = [], [], [], 0
+    for start, end in row_blocks(offsets, FIT_BLOCK):
+        hashes, owner, first, _, of_row = features(data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start])
+        place, key = model.hits(hashes)
+        sentence.append(owner[place] + total)
+        feature.append(key)
+        bags.append(np.repeat(np.arange(start, end), np.diff(of_row)))
+        total += len(first)
+    model.weights, model.bias = _train(np.concatenate(sentence), np.concatenate(feature), len(able), np.concatenate(bags), len(y), y, weight)
     return model
 
 
-def _distinct(hashes: np.ndarray, bag: np.ndarray) -> np.ndarray:
-    order = np.lexsort((bag, hashes))
-    h, b = hashes[order], bag[order]
-    first = np.append(True, (h[1:] != h[:-1]) | (b[1:] != b[:-1]))
-    return np.stack([h[first], b[first].astype(np.uint64)], 1)
+def _document_counts(data: np.ndarray, offsets: np.ndarray, chosen: np.ndarray, among: Model | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted features of the chosen rows (or those of them in a model), and the rows that hold each."""
+    kept = []
+    for start, end in row_blocks(offsets, FIT_BLOCK):
+        low = offsets[start]
+        hashes, owner, _, _, of_row = features(data[low : offsets[end]], offsets[start : end + 1] - low)
+        row = np.searchsorted(of_row, owner, "right") - 1
+        if among is not None:
+            place, key = among.hits(hashes)
+            hashes, row = among.keys[key], row[place]
+        good = chosen[start + row]
+        hashes, row = hashes[good], row[good]
+        order = np.lexsort((row, hashes))
+        hashes, row = hashes[order], row[order]
+        once = np.append(True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])) if len(row) else np.zeros(0, bool)
+        kept.append(np.unique(hashes[once], return_counts=True))
+    keys = np.concatenate([k for k, _ in kept] + [np.zeros(0, np.uint64)])
+    counts = np.concatenate([c for _, c in kept] + [np.zeros(0, np.int64)])
+    found, where = np.unique(keys, return_inverse=True)
+    return found, np.bincount(where, counts, len(found)).astype(np.int64)
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
