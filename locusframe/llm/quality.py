@@ -28,7 +28,7 @@ from .text import mix64, row_blocks, shingles, utf8, words
 #: Labelled documents a class that fit the model at most.
 DOCS = 2500
 #: Longest document that is fitted on.
-DOC_BYTES = 20_000
+DOC_BYTES = 8_000
 #: Words of a passage.
 PASSAGE = 48
 HIDDEN = 16
@@ -182,8 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     order = F.md5(F.concat(F.lit("quality:"), F.col("_id").cast("string")).cast("binary"))
     chosen = None
-    for y in (0, 1):  # 2 * most ids a class at most, of which some are too long or missing
-        part = known.filter(F.col("_y") == y).distinct().orderBy(order, "_id").limit(2 * most)
+    for y in (0, 1):  # 1.5 * most ids a class at most, of which some are too long or missing
+        part = known.filter(F.col("_y") == y).distinct().orderBy(order, "_id").limit(most + most // 2)
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.filter(F.octet_length(text_col) <= DOC_BYTES).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     table = rows.join(F.broadcast(chosen), "_id").withColumn("_h", order).orderBy("_h", "_text").select("_y", "_text").toArrow()
@@ -194,7 +194,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         prior = 0.5 if not len(y) else 0.99 if y[0] else 0.01
         w = {"w": np.zeros((WIDTH, HIDDEN)), "b": np.zeros(HIDDEN), "v": np.zeros((HIDDEN, ATTENTION)), "u": np.zeros((HIDDEN, ATTENTION)), "a": np.zeros(ATTENTION), "o": np.zeros(HIDDEN), "c": np.log(prior / (1 - prior))}
         return Model(np.zeros(WIDTH), np.ones(WIDTH), w)
-    x, of_row = passages(*utf8(table["_text"].take(pa.array(keep))))
+    data, offsets = utf8(table["_text"].take(pa.array(keep)))
+    del table
+    parts = [passages(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in row_blocks(offsets, 1 << 20)]
+    x = np.concatenate([p for p, _ in parts])
+    of_row = np.append(0, np.cumsum(np.concatenate([np.diff(r) for _, r in parts])))
     mean, scale = x.mean(0), x.std(0)
     scale = np.where(scale > 1e-6, scale, 1.0)
     weight = np.where(y > 0, share[1] / (y > 0).sum(), share[0] / (y == 0).sum())
