@@ -15,7 +15,7 @@ one leader, and what is verified there forms components; then only pairs of
 members that are still in different components are compared. That loses no
 component, and a group of copies costs work in proportion to its size.
 
-The order only steers speed. Shingles that occur in many documents of a block
+The order only steers speed. Shingles that occur in many documents of a stretch
 are counted, and the most frequent go last; a frequent shingle that this misses
 gives longer posting lists, never another result.
 
@@ -26,7 +26,6 @@ equal ids each get a result. Columns other than the two named are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +38,12 @@ from .text import row_blocks, shingle_set, utf8, words
 
 #: Of the frequent shingles, so many are ordered last. Bounds the broadcast at about 3 MB.
 FREQUENT = 200_000
-#: A shingle counts as frequent in a block of about 8 MB if so many different sets hold it.
-FREQUENT_IN_BLOCK = 3
+#: Shingles of different sets that are counted together (8 bytes each).
+STRETCH = 4_000_000
+#: A shingle counts as frequent in such a stretch if so many different sets hold it.
+FREQUENT_IN_STRETCH = 3
+#: 64-bit words of the small bitmap that is compared where posting lists are joined.
+MINI = 4
 #: Rows of (id, node) up to which the wanted documents are broadcast instead of shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -66,18 +69,28 @@ def frequent_shingles(docs: DataFrame, text_col: str, k: int, most: int = FREQUE
     """The most frequent shingles, sorted, and their counted documents. At most ``most``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        held: dict[bytes, np.ndarray] = {}
+        size = 0
+
+        def often() -> pa.RecordBatch:
+            flat = np.sort(np.concatenate([*held.values(), np.zeros(0, np.uint64)]))
+            firsts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
+            counts = np.diff(np.append(firsts, len(flat)))
+            kept = counts >= FREQUENT_IN_STRETCH
+            return pa.RecordBatch.from_arrays([pa.array(flat[firsts[kept]].view(np.int64)), pa.array(counts[kept])], ["token", "c"])
+
         for batch in batches:
             for sets in _sets(batch, 0, k):
-                distinct = {hashlib.blake2b(s.tobytes(), digest_size=8).digest(): s for s in sets if len(s)}
-                if not distinct:
-                    continue
-                flat = np.sort(np.concatenate(list(distinct.values())))
-                firsts = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
-                counts = np.diff(np.append(firsts, len(flat)))
-                often = counts >= FREQUENT_IN_BLOCK
-                found.update(dict(zip(flat[firsts[often]].view(np.int64).tolist(), counts[often].tolist(), strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["token", "c"])
+                for s in sets:
+                    key = hashlib.blake2b(s.tobytes(), digest_size=8).digest()
+                    if len(s) and key not in held:
+                        held[key] = s
+                        size += len(s)
+                if size >= STRETCH:
+                    yield often()
+                    held.clear()
+                    size = 0
+        yield often()
 
     top = docs.select(text_col).mapInArrow(count, "token bigint, c bigint").groupBy("token").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "token").limit(most).toArrow()
     token, c = top["token"].to_numpy().view(np.uint64), top["c"].to_numpy()
@@ -111,9 +124,9 @@ class PrefixOrder:
         return np.concatenate([first, last[: length - len(first)]])
 
 
-def parity(tokens: np.ndarray) -> np.ndarray:
-    """Bitmap as 64-bit words: bit ``b`` is the parity of the shingles with low bits ``b``."""
-    bits = max(64, 1 << (len(tokens) - 1).bit_length())
+def parity(tokens: np.ndarray, bits: int = 0) -> np.ndarray:
+    """Bitmap as 64-bit words: bit ``b`` is the parity of the shingles with low bits ``b``. About a bit a shingle unless told."""
+    bits = bits or max(64, 1 << (len(tokens) - 1).bit_length())
     odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -122,18 +135,22 @@ def parity(tokens: np.ndarray) -> np.ndarray:
 _FOLD = "case when size({a}) > size({b}) then zip_with(slice({a}, 1, size({b})), slice({a}, size({b}) + 1, size({b})), (x, y) -> x ^ y) else {a} end"
 
 
+def _differ(a: str, b: str) -> str:
+    """SQL: bits in which two bitmaps differ."""
+    return f"aggregate(zip_with({_FOLD.format(a=a, b=b)}, {_FOLD.format(a=b, b=a)}, (x, y) -> bit_count(x ^ y)), 0, (a, x) -> a + x)"
+
+
 def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose bitmaps do not rule them out, and whose sizes allow the threshold."""
     left = nodes.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu"))
     right = nodes.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv"))
     both = pairs.select("u", "v").join(left, "u").join(right, "v").filter(f"{percent} * greatest(nu, nv) <= 100 * least(nu, nv)")
-    apart = f"aggregate(zip_with({_FOLD.format(a='bu', b='bv')}, {_FOLD.format(a='bv', b='bu')}, (x, y) -> bit_count(x ^ y)), 0, (a, x) -> a + x)"
     # difference <= sizes - 2 * overlap, and overlap >= percent / (100 + percent) * sizes
-    return both.filter(f"{100 + percent} * {apart} <= {100 - percent} * (nu + nv)").select("u", "v")
+    return both.filter(f"{100 + percent} * {_differ('bu', 'bv')} <= {100 - percent} * (nu + nv)").select("u", "v")
 
 
 def _profiles(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, order) -> DataFrame:
-    """(id, n, node, g, prefix, bits) of every row."""
+    """(id, n, node, g, prefix, bits, mini) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +158,7 @@ def _profiles(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
         for batch in batches:
             start = 0
             for sets in _sets(batch, 1, k):
-                n, node, g, prefix, bits = [], [], [], [], []
+                n, node, g, prefix, bits, mini = [], [], [], [], [], []
                 for s in sets:
                     size = len(s)
                     n.append(size)
@@ -150,19 +167,21 @@ def _profiles(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
                         g.append(None)
                         prefix.append(None)
                         bits.append(None)
+                        mini.append(None)
                         continue
                     p = by.prefix(s, size - -(-percent * size // 100) + 1)
                     node.append(_hash(s.tobytes()))
                     g.append(_hash(p.tobytes() + size.to_bytes(8, "little")))
                     prefix.append(p.view(np.int64))
                     bits.append(parity(s))
+                    mini.append(parity(s, 64 * MINI))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(sets)), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(g, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                    ["id", "n", "node", "g", "prefix", "bits"],
+                    [batch.column(0).slice(start, len(sets)), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(g, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(mini, pa.list_(pa.int64()))],
+                    ["id", "n", "node", "g", "prefix", "bits", "mini"],
                 )
                 start += len(sets)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n bigint, node bigint, g bigint, prefix array<bigint>, bits array<bigint>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n bigint, node bigint, g bigint, prefix array<bigint>, bits array<bigint>, mini array<bigint>")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
@@ -190,8 +209,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
 
 
 def _may_link(a: str, b: str, percent: int) -> str:
-    """SQL: sizes and positions of a common shingle allow the threshold."""
-    overlap = f"least({a}.pos, {b}.pos) + 1 + least({a}.n - {a}.pos - 1, {b}.n - {b}.pos - 1)"
+    """SQL: sizes allow the threshold, and so do the positions if this is the first common shingle.
+
+    Two sets that link have a first common shingle in both prefixes, and meet there.
+    """
+    overlap = f"least({a}.n - {a}.pos, {b}.n - {b}.pos)"
     return f"{percent} * greatest({a}.n, {b}.n) <= 100 * least({a}.n, {b}.n) and {100 + percent} * ({overlap}) >= {percent} * ({a}.n + {b}.n)"
 
 
@@ -201,16 +223,20 @@ def link_nodes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
     order = spark.sparkContext.broadcast(frequent_shingles(docs, text_col, k))
     profiles = cut(_profiles(docs, id_col, text_col, k, percent, order))
     held = profiles.filter("n > 0")
-    nodes = cut(held.groupBy("node").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("bits").alias("bits")))
+    nodes = cut(held.groupBy("node").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("bits").alias("bits"), *(F.first(F.col("mini")[j]).alias(f"b{j}") for j in range(MINI))))
     groups = held.groupBy("g").agg(F.min("node").alias("lead"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
-    # Posting lists of more than one group, with their leader.
+    # Posting lists of more than one group. A group's centrality is the length of the lists
+    # that it stands in; a list's leader is its most central group, for a group of copies
+    # the one that most others resemble.
     everyone = W.partitionBy("token")
-    shared = cut(
+    listed = cut(
         groups.select("g", "lead", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-        .withColumns({"first": F.min(F.struct("g", "lead", "n", "pos")).over(everyone), "many": F.count(F.lit(1)).over(everyone)})
-        .filter("many > 1").drop("many")
-    )
+        .withColumn("many", F.count(F.lit(1)).over(everyone))
+        .filter("many > 1")
+    )
+    central = listed.groupBy("g").agg((F.sum("many") / F.max("n")).alias("central"))
+    shared = cut(listed.join(central, "g").withColumn("first", F.max(F.struct("central", "g", "lead", "n", "pos")).over(everyone)).drop("central", "many"))
     starred = shared.alias("x").filter(f"g <> first.g and {_may_link('x', 'first', percent)}").selectExpr("least(lead, first.lead) u", "greatest(lead, first.lead) v")
     inside = nodes.join(nodes.groupBy("g").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("many")).filter("many > 1"), "g")
     pairs = cut(_plausible(starred.unionByName(inside.filter("node <> lead").selectExpr("lead u", "node v")).distinct(), nodes, percent))
@@ -218,15 +244,17 @@ def link_nodes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
     parts = cut(connected_components(links))
 
     # What the leaders left apart: members of one list in different components.
-    placed = nodes.join(parts, "node", "left").select("g", "node", "n", F.coalesce("component", "node").alias("c"))
+    small = [f"b{j}" for j in range(MINI)]
+    placed = nodes.join(parts, "node", "left").select("g", "node", "n", *small, F.coalesce("component", "node").alias("c"))
     lists = shared.select("g", "pos", "token").join(placed, "g")
-    own = inside.select("node", "g", "n").join(parts, "node", "left").select("g", F.lit(0).alias("pos"), F.col("g").alias("token"), "node", "n", F.coalesce("component", "node").alias("c"))
+    own = inside.select("node", "g", "n", *small).join(parts, "node", "left").select("g", F.lit(0).alias("pos"), F.col("g").alias("token"), "node", "n", *small, F.coalesce("component", "node").alias("c"))
     lists = lists.unionByName(own)
     sizes = lists.groupBy("token", "c").agg(F.count(F.lit(1)).alias("m"))
     mixed = sizes.groupBy("token").agg(F.max_by("c", F.struct("m", "c")).alias("big"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("token", "big")
     lists = cut(lists.join(mixed, "token"))
     a, b = lists.filter("c <> big").alias("a"), lists.alias("b")
-    rest = a.join(b, F.expr(f"a.token = b.token and a.c <> b.c and (b.c = b.big or a.node < b.node) and {_may_link('a', 'b', percent)}")).selectExpr("least(a.node, b.node) u", "greatest(a.node, b.node) v").distinct()
+    apart = " + ".join(f"bit_count(a.{w} ^ b.{w})" for w in small)
+    rest = a.join(b, F.expr(f"a.token = b.token and a.c <> b.c and (b.c = b.big or a.node < b.node) and {_may_link('a', 'b', percent)} and {100 + percent} * ({apart}) <= {100 - percent} * (a.n + b.n)")).selectExpr("least(a.node, b.node) u", "greatest(a.node, b.node) v").distinct()
     rest = cut(_plausible(rest, nodes, percent).join(pairs, ["u", "v"], "left_anti"))
     if rest.isEmpty():
         return profiles, nodes, parts
