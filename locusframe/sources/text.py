@@ -108,11 +108,11 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """The table of a report whose summary comes first: columns by the ``#`` header line."""
-    lines = spark.read.text(path)
-    header = lines.filter("value like '#%\t%'").first()
+    lines = spark.read.text(path).withColumn("_o", F.monotonically_increasing_id())  # in the order of the file
+    header = lines.filter("value rlike '^#[^#]'").orderBy("_o").first()
     if header is None:
         return spark.createDataFrame([], "chrom string")
     names = header.value.lstrip("#").split("\t")
     f = F.split("value", "\t")
-    rows = lines.filter(~F.col("value").startswith("#") & (F.size(f) == len(names)))
+    rows = lines.filter((F.col("_o") > header["_o"]) & (F.size(f) == len(names)))
     return rows.select(*(f[i].alias(n) for i, n in enumerate(names)))
