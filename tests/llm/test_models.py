@@ -260,3 +260,20 @@ def test_entry_lists_all_queries():
 
     names = Counter(re.match(r"op\d+", n)[0] for n in __spark_entry__.queries() if n.startswith("op"))
     assert names == {f"op{n}": 1 for n in range(1, 11)} and "pipeline" in __spark_entry__.queries()
+
+
+def test_stages_take_odd_and_empty_documents(spark, tmp_path):
+    labels = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i, *_ in odd_documents() if i is not None], "doc_id bigint, quality int, toxic int")
+    bench = spark.createDataFrame([(1, prose(2, 90)), (2, None), (3, "")], "item_id bigint, text string")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    for docs in (odd_frame(spark), empty_frame(spark)):
+        ids = []
+        for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path)).cache()
+            ids.append({r.doc_id for r in out.select("doc_id").collect()})
+            if number < 4:
+                assert out.columns == docs.columns
+                docs = out
+        if ids[0]:
+            assert not ids[0] & {5, 6, 7, 10} and ids[1] <= ids[0] and ids[2] <= ids[1] and ids[3] == ids[2] - {4} and ids[4] == ids[3]
