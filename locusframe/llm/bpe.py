@@ -28,11 +28,11 @@ SHIFT = 32
 FREE = 1 << 30  # above any rank: this pair is no token
 NONE = FREE << SHIFT
 LOW = (1 << SHIFT) - 1
-CACHED_MATCHES = 400_000
+CACHED_MATCHES = 200_000
 CACHED_BYTES = 64
 LONG_TEXT = 1 << 20
 BATCHED = 1 << 14
-DOCS_AT_ONCE = 1 << 21  # characters
+DOCS_AT_ONCE = 1 << 20  # characters
 
 
 def parse_ranks(lines: bytes) -> dict[bytes, int]:

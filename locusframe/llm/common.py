@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: Folder that holds the package, for Python workers started elsewhere.
 ROOT = str(Path(__file__).resolve().parents[2])
 
+#: Rows of an Arrow batch that goes to a Python worker.
+ROWS_PER_BATCH = 1000
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the corpus tables, by any path that Spark can read."""
@@ -23,13 +26,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make the package importable in Python workers and name a checkpoint folder.
+    """Make the package importable in Python workers, name a checkpoint folder, and keep Arrow batches small.
 
     ``spark.checkpoint.dir`` is read from the session. Only a local session
     without one (tests) gets a temporary folder; a cluster without one is an
     error, since executors could not share it.
     """
     sc = spark.sparkContext
+    # Texts are long: ten thousand of them at once, in the JVM and in Python, are the memory peak of every stage.
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS_PER_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     known = sc.environment.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import learnable, prepare
+from .text import row_blocks
 
 #: Characters of labelled text a language at most; an automaton has up to twice as many states.
 CHARS = 24_000
@@ -35,6 +36,8 @@ LANGUAGES = 200
 STRETCH = 512
 #: Stretches in lockstep.
 WIDTH = 8192
+#: Characters that are parsed together.
+PORTION = 1 << 21
 #: Symbols that an automaton tells apart: 0 is unknown, 1 is any run of non-letters.
 SYMBOLS = 256
 
@@ -147,7 +150,17 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and score of each text."""
+        """Language and score of each text, in portions of about ``PORTION`` characters."""
+        lang: list[str] = []
+        score: list[float] = []
+        size = np.append(0, np.cumsum([len(t) if t else 0 for t in texts])).astype(np.int64)
+        for start, end in row_blocks(size, PORTION):
+            some = self._predict(texts[start:end])
+            lang += some[0]
+            score += some[1]
+        return lang, score
+
+    def _predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         codes = [_codes(t) if t else np.zeros(0, np.uint32) for t in texts]
         size = np.array([len(c) for c in codes], np.int64)
         letters = np.array([bool((c > 0).any()) for c in codes], bool)
