@@ -46,6 +46,8 @@ FREQUENT_IN_STRETCH = 3
 MINI = 4
 #: Rows of (id, node) up to which the wanted documents are broadcast instead of shuffled.
 BROADCAST_ROWS = 200_000
+#: Dropped ids up to which they are broadcast against the texts.
+DROPPED_ROWS = 1_000_000
 
 
 def _signed(digest: bytes) -> int:
@@ -274,5 +276,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component; rows equal in id and text stay as one."""
-    kept = jaccard_components(docs, id_col, text_col, k, percent).filter(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col, text_col])
+    found = cut(jaccard_components(docs, id_col, text_col, k, percent))
+    mine = F.col("component_id").eqNullSafe(F.col(id_col))
+    gone = found.groupBy(F.col(id_col).alias("_gone")).agg(F.max(mine.cast("int")).alias("_stays")).filter("_stays = 0").select("_gone")
+    if gone.count() <= DROPPED_ROWS:  # else the texts are shuffled to their ids
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    repeated = not found.filter(mine).groupBy(id_col).count().filter("count > 1").isEmpty()
+    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
