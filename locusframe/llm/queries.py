@@ -14,7 +14,7 @@ from .decontam import find_leaks
 from .html import extract_pages
 from .neardup import near_duplicates
 from .ngram_join import jaccard_components
-from .rollup import TokenRollup, corpus_totals
+from .rollup import TokenRollup, whole_corpus_totals
 from .sharding import interleave_shards
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -36,7 +36,7 @@ def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_totals(read_table(spark, sf_dir, "documents"), TokenRollup.temporary(spark))
+    return whole_corpus_totals(read_table(spark, sf_dir, "documents"), TokenRollup.temporary(spark))
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

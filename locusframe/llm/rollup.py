@@ -121,26 +121,41 @@ LEAST_WORDS = 20
 NOISE = r"[#$%&*!|]+"
 
 
-def corpus_totals(docs: DataFrame, rollup: TokenRollup) -> DataFrame:
-    """Totals after four batches over a whole corpus, two of which are delivered twice.
-
-    All documents are counted in words and in marks; documents under
-    ``LEAST_WORDS`` words are deleted; the words of the rest are revised after
-    cleaning runs of noise characters.
-    """
+def _corpus_batches(docs: DataFrame) -> dict[str, DataFrame]:
+    """Signed changes of the four batches of ``corpus_totals`` by name."""
     text = F.col("text")
     words, marks = count_matches(text, WORDS), count_matches(text, MARKS)
     cleaned = count_matches(F.regexp_replace(text, NOISE, " "), WORDS)
     short = words < LEAST_WORDS
-    batches = {
+    return {
         "insert-words": changes(docs, words, "words-1", 1),
         "insert-marks": changes(docs, marks, "marks-1", 1),
         "delete-short": changes(docs.filter(short), words, "words-1", -1).unionByName(changes(docs.filter(short), marks, "marks-1", -1)),
         "revise-words": changes(docs.filter(~short), words, "words-1", -1).unionByName(changes(docs.filter(~short), cleaned, "words-1", 1)),
     }
+
+
+def corpus_totals(docs: DataFrame, rollup: TokenRollup) -> DataFrame:
+    """Totals after four batches over a whole corpus, two of which are delivered twice.
+
+    All documents are counted in words and in marks; documents under
+    ``LEAST_WORDS`` words are deleted; the words of the rest are revised after
+    cleaning runs of noise characters.
+    """
+    batches = _corpus_batches(docs)
     for name, signed in batches.items():
         rollup.apply(name, signed)
     for name in ("delete-short", "insert-words"):
         rollup.apply(name, batches[name])
     rollup.compact()
     return rollup.totals()
+
+
+def whole_corpus_totals(docs: DataFrame, rollup: TokenRollup) -> DataFrame:
+    """Totals of every document's whole text: the batches of ``corpus_totals``, then the inverse of its deletion and revision."""
+    corpus_totals(docs, rollup)
+    batches = _corpus_batches(docs)
+    for name in ("delete-short", "revise-words"):
+        rollup.apply(f"undo-{name}", batches[name].withColumn("sign", -F.col("sign")))
+    rollup.compact()
+    return rollup.totals()

@@ -10,11 +10,11 @@ import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
 
-from locusframe.llm import bpe, decontam, ngram_join, rollup, sharding
+from locusframe.llm import bpe, decontam, ngram_join, queries, rollup, sharding
 from locusframe.llm.components import connected_components
 from locusframe.llm.text import shingle_set, utf8, words
 
-from .cases import empty_frame, odd_documents, odd_frame, prose
+from .cases import SCHEMA, empty_frame, odd_documents, odd_frame, prose
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 
@@ -298,3 +298,15 @@ def test_rollup_of_odd_rows(spark):
             want[source, lang][0] += 1
             want[source, lang][1] += len(re.sub(r"[#$%&*!|]+", " ", t).split())
     assert got == {(s, l, "words-1", n, w) for (s, l), (n, w) in want.items()}
+
+
+def test_corpus_counts_cover_every_whole_text(spark, tmp_path):
+    odd_frame(spark, extra=False).unionByName(spark.createDataFrame([(90, "short $$ only", "xx", "z", 13), (91, "stone $$ river " * 20, "xx", "y", 300)], SCHEMA)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(x) for x in queries.op4_token_counts(spark, str(tmp_path)).collect()}
+    want = defaultdict(lambda: [0, 0, 0])
+    for x in spark.read.parquet(str(tmp_path / "documents.parquet")).collect():
+        t = x.text or ""
+        for name, pattern in (("words-1", rollup.WORDS), ("marks-1", rollup.MARKS)):
+            for i, n in enumerate((1, len(re.findall(pattern, t)), len(t.encode()))):
+                want[x.source, x.lang, name][i] += n
+    assert got == {(*key, *sums) for key, sums in want.items()}
