@@ -3,7 +3,8 @@
 A coarse quantiser (k-means over a bounded sample) deals every vector into one
 inverted list, where it stands as codes of its residual in several subspaces.
 A vector asks every list whose bisector with its own list lies within ``slack``
-of it; distances there are looked up from its own tables (asymmetric), and what
+of it, half the chord of the threshold unless told, which misses no link;
+distances there are looked up from its own tables (asymmetric), and what
 could reach the threshold, given the member's known quantisation error, is
 ranked again by exact cosine in double precision.
 
@@ -36,9 +37,8 @@ SAMPLE = 20_000
 MOST_LISTS = 4096
 #: Rows of a block of members or queries.
 BLOCK = 2048
-#: A list is asked if the bisector between it and the vector's own list is within this distance. Measured over 51,282 vectors:
-#: all of 2,000 partners at cosine 0.95 are found from either side, at 8 lists a vector; 0.32 would prove it, at most lists.
-SLACK = 0.08
+#: Added to the slack for rounding where centroids nearly coincide.
+ROUNDING = 1e-4
 
 
 @dataclass
@@ -163,6 +163,16 @@ def _block(table: pa.Table, quantiser: Quantiser, threshold: float) -> pa.Table:
     )
 
 
+def full_slack(threshold: float) -> float:
+    """Slack at which no link is missed.
+
+    Unit vectors at the threshold lie a chord of sqrt(2 - 2 * threshold) apart at
+    most. If they are in different lists, the segment between them crosses the
+    bisector, so one of the two lies within half the chord of it and asks.
+    """
+    return max(0.0, (1 - threshold) / 2) ** 0.5 + ROUNDING
+
+
 def _unit_rows(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, node, dim, unit) of every row; node is null for vectors that link with nothing."""
     kind = vectors.schema[id_col].dataType.simpleString()
@@ -188,9 +198,10 @@ def _unit_rows(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.select(id_col, vec_col).mapInArrow(run, f"id {kind}, node bigint, dim int, unit binary")
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, slack: float = SLACK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, slack: float | None = None) -> DataFrame:
     """Per row: id, n_links (other vectors linked directly), component_id, kept (id = component_id)."""
     spark = prepare(vectors.sparkSession)
+    slack = full_slack(threshold) if slack is None else slack
     rows = _unit_rows(vectors, id_col, vec_col)
     nodes = cut(rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("c"), F.first("dim").alias("dim"), F.first("unit").alias("unit")))
     ids = rows.select("id", "node")

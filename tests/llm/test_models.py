@@ -101,6 +101,19 @@ def test_blocks_do_not_change_links(spark, monkeypatch):
     assert {tuple(r) for r in neardup.near_duplicates(df).collect()} == whole
 
 
+def test_low_rank_vectors_in_many_lists_lose_no_link(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2000, 4))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1)[:, None] * x
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    x = np.concatenate([x, 0.951 * x + (1 - 0.951**2) ** 0.5 * side]) @ np.linalg.qr(rng.normal(size=(64, 4)))[0].T
+    got = {r.vec_id: r.n_links for r in neardup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    assert [got[i] for i in range(len(x))] == ((unit @ unit.T >= 0.95).sum(1) - 1).tolist()
+
+
 # Language
 
 
