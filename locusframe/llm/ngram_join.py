@@ -190,6 +190,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     """The pairs ``(u, v)`` of nodes whose whole sets reach the threshold."""
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "doc"), "node")
     wanted = cut(wanted)
+    nameless = wanted.filter("doc is null").select("node")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc").select("node", "text")
@@ -198,11 +199,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
         for batch in batches:
             expected, start = batch.column(0).to_pylist(), 0
             for sets in _sets(batch, 1, k):
-                kept = [(e, s) for e, s in zip(expected[start : start + len(sets)], sets, strict=True) if _hash(s.tobytes()) == e]
+                kept = [(h, s) for e, s in zip(expected[start : start + len(sets)], sets, strict=True) if len(s) and (h := _hash(s.tobytes())) == (h if e is None else e)]
                 start += len(sets)
-                yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in kept], pa.int64()), pa.array([s.view(np.int64) for _, s in kept], pa.list_(pa.int64()))], ["node", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in kept], pa.int64()), pa.array([s.view(np.int64) for _, s in kept], pa.list_(pa.int64()))], ["node", "s"])
 
     sets = texts.mapInArrow(run, "node bigint, s array<bigint>")
+    if not nameless.isEmpty():  # only rows without an id hold these nodes: they are found by hash, since ids would pair every such row with every such node
+        unnamed = docs.filter(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("node"), F.col(text_col).alias("text"))
+        sets = sets.unionByName(unnamed.mapInArrow(run, "node bigint, s array<bigint>").join(nameless, "node", "left_semi").dropDuplicates(["node"]))
     left = sets.select(F.col("node").alias("u"), F.col("s").alias("su"))
     right = sets.select(F.col("node").alias("v"), F.col("s").alias("sv"))
     both = F.size(F.array_intersect("su", "sv"))

@@ -202,6 +202,18 @@ def test_ngram_join_of_odd_rows(spark):
     assert ngram_join.jaccard_components(empty_frame(spark)).count() == 0
 
 
+def test_ngram_join_links_rows_without_ids(spark):
+    w = [prose(500, 60).split()]
+    for at in (3, 20, 40, 55):  # neighbours link; the ends of the chain reach each other through rows without ids only
+        w.append([*w[-1][:at], f"changed{at}", *w[-1][at + 1 :]])
+    texts = [" ".join(x) for x in w]
+    sizes, parts = _brute_join(texts)
+    assert len(set(parts.values())) == 1
+    rows = [(1, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (2, texts[4]), (None, prose(501, 60)), (None, "")]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter({(1, 1): 1, (None, 1): 4, (2, 1): 1, (None, None): 2})
+
+
 def test_one_of_each_group_stays(spark):
     kept = sorted(r.doc_id or -1 for r in ngram_join.keep_one_per_component(odd_frame(spark)).collect())
     assert kept == [-1, 1, 4, 5, 6, 7, 8, 10, 11, 12, 13]
