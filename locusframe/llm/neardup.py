@@ -12,9 +12,9 @@ Equal vectors collapse to one node first, so copies cost nothing. Lists are cut
 into blocks of members and of queries, and a task holds one block of each. A
 block reports counts and a spanning forest of its links, never its pairs.
 
-Vectors that are null, zero, of another length than the table's most common,
-or that hold null or non-finite components link with nothing. Repeated ids get
-a row each. An empty table gives an empty result. Columns other than the two
+Vectors that are null, zero, or that hold null or non-finite components link
+with nothing; vectors link with those of their own length only. Repeated ids
+get a row each. An empty table gives an empty result. Columns other than the two
 named are ignored.
 """
 
@@ -205,17 +205,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     rows = _unit_rows(vectors, id_col, vec_col)
     nodes = cut(rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("c"), F.first("dim").alias("dim"), F.first("unit").alias("unit")))
     ids = rows.select("id", "node")
-    common = nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
-    if common is None:
-        found = ids.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    else:
-        links, edges = _search(spark, nodes.filter(F.col("dim") == common["dim"]), common["n"], threshold, slack)
-        parts = connected_components(edges)
-        placed = nodes.select("node", "least", "c").join(parts, "node", "left").select("node", "least", "c", F.coalesce("component", "node").alias("part"))
-        named = placed.join(placed.groupBy("part").agg(F.min("least").alias("root")), "part").join(links, "node", "left")
-        alone = F.col("dim") == common["dim"]
-        named = named.join(nodes.select("node", "dim"), "node").select("node", F.when(alone, F.col("root")).alias("root"), F.when(alone, F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("links"))
-        found = ids.join(named, "node", "left").select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    links, edges = spark.createDataFrame([], "node bigint, links bigint"), spark.createDataFrame([], "u bigint, v bigint")
+    # Vectors of different lengths have no cosine, so each length is a search of its own.
+    for row in nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy("dim").collect():
+        more, ties = _search(spark, nodes.filter(F.col("dim") == row["dim"]), row["n"], threshold, slack)
+        links, edges = links.unionByName(more), edges.unionByName(ties)
+    parts = connected_components(edges)
+    placed = nodes.select("node", "least", "c").join(parts, "node", "left").select("node", "least", "c", F.coalesce("component", "node").alias("part"))
+    named = placed.join(placed.groupBy("part").agg(F.min("least").alias("root")), "part").join(links, "node", "left").select("node", "root", (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("links"))
+    found = ids.join(named, "node", "left").select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "id").alias("component_id"))
     return found.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

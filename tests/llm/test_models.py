@@ -114,6 +114,12 @@ def test_low_rank_vectors_in_many_lists_lose_no_link(spark):
     assert [got[i] for i in range(len(x))] == ((unit @ unit.T >= 0.95).sum(1) - 1).tolist()
 
 
+def test_vectors_of_every_length_link(spark):
+    rows = [(i, [1.0, i / 100, 0.0]) for i in range(3)] + [(10, [1.0, 2.0]), (11, [2.0, 4.0]), (12, [1.0, 2.1]), (20, [3.0] * 5), (21, [3.0] * 5), (30, [1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 10: (2, 10), 11: (2, 10), 12: (2, 10), 20: (1, 20), 21: (1, 20), 30: (0, 30)}
+
+
 # Language
 
 
