@@ -47,6 +47,86 @@ def test_any_tag_soup_gives_text(parts):
     assert out == out.strip() and "<script>" not in out and all(b == " ".join(b.split()) and b for b in out.split("\n\n") if out)
 
 
+@pytest.mark.parametrize("wrapper", ['div class="layout has-sidebar"', 'div class="sidebar"', 'div id="page-comments"', 'section id="side-effects"'])
+def test_no_name_removes_what_holds_the_densest_text(wrapper):
+    text = "A paragraph of the article with a good number of words in it, and some more of them."
+    page = f"<body><nav><a href=1>m</a></nav><{wrapper}><p>{text}</p><p>{text} Again.</p></{wrapper.split()[0]}><footer>f</footer></body>"
+    assert html.main_text(page) == f"{text}\n\n{text} Again."
+
+
+def test_names_of_sections_are_not_names_of_boilerplate():
+    p = "<p>Words of a paragraph that is long enough to be dense in characters.</p>"
+    page = f'<body><article><h1>Title</h1>{p}<section id="side-effects">{p}</section><section id="related-work">{p}</section><div class="related-posts">{p}</div></article></body>'
+    assert html.main_text(page).count("Words of a paragraph") == 3
+
+
+def test_comments_longer_than_the_article_stay_out():
+    page = "<body><div class=x><p>" + "The article is short, with two sentences. " * 3 + "</p></div><div id=comments>" + "<p>A reader writes a lot more than the author did, and does so again.</p>" * 8 + "</div></body>"
+    assert html.main_text(page) == ("The article is short, with two sentences. " * 3).strip()
+
+
+def _plain_boilerplate() -> tuple[str, str]:
+    """A page whose boilerplate has no telling tag, class or role, and its article."""
+    paragraphs = [prose(700 + i, 60) for i in range(5)]
+    menu = "".join(f'<div><a href="/{i}">{prose(720 + i, 2)}</a></div>' for i in range(14))
+    page = f"<body><div class=q1>{menu}</div><div class=q2>{prose(740, 5)}</div><div class=q3><div class=q4><h2>{prose(741, 6)}</h2>{''.join(f'<p>{x}</p>' for x in paragraphs)}</div><div class=q5>{menu}</div></div><div class=q6>{prose(742, 6)} <a href=/i>{prose(743, 2)}</a></div></body>"
+    return page, "\n\n".join([prose(741, 6), *paragraphs])
+
+
+def test_densities_find_an_article_without_telling_tags():
+    page, want = _plain_boilerplate()
+    assert html.main_text(page) == want
+    root = html.parse(page)
+    assert "\n\n".join(html.blocks_of([root])) != want  # without the selection the rest of the page is there too
+
+
+def test_the_centre_has_the_largest_sum_and_the_threshold_holds_outside_it():
+    root = html.parse(_plain_boilerplate()[0])
+    tops, centre, lists = html.select(root)
+    order, nodes = [root], []
+    while order:
+        node = order.pop()
+        nodes.append(node)
+        order += [x for x in node.children if isinstance(x, html.Node) and id(x) not in lists]
+    blocks = [n for n in nodes if n.tag in html.BLOCK]
+    assert centre.total == max(n.total for n in blocks) and len(lists) >= 2
+    for n in nodes:  # the counts behind the densities, by walking the subtree
+        todo, chars, tags, links = [n], 0, -1, 0
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                chars += len("".join(x.split()))
+            elif id(x) not in lists:
+                tags += 1
+                links += x.tag == "a" and x is not n
+                todo += x.children
+        assert (n.chars, n.tags, n.link_tags) == (chars, tags, links)
+    least = min(n.density for n in html._above(centre))
+    assert all(n.density >= least or any(x is centre for x in [n, *html._above(n)]) or best_inside(n, least) for n in tops)
+
+
+def best_inside(node, least):
+    """Whether a block that holds the node reaches the threshold."""
+    return any(x.density >= least for x in html._above(node) if x.parent is not None)
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', '<a href="x> ', "<div>", "<svg>", "<p>x", "<", "<a b=", "<tr><td>", "</b>", "<!-", "<i></div>"])
+def test_markup_that_is_never_closed_takes_linear_time(piece):
+    import time
+
+    def took(n: int) -> float:
+        began = time.process_time()
+        html.main_text("<b><div>" + piece * n)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(64_000) < 16 * max(took(8_000), 0.02)  # eight times as long, not sixty-four
+
+
+def test_pages_of_an_empty_table(spark):
+    assert html.extract_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
 def test_pages_table(spark):
     rows = {r.page_id: r for r in queries.op5_html_extraction(spark, SF).collect()}
     pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
