@@ -53,7 +53,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = read_table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "entropy")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

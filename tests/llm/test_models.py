@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from locusframe.llm import html, langid, neardup, quality, queries, toxicity
@@ -207,13 +208,8 @@ def test_vectors_of_every_length_link(spark):
 @given(st.lists(st.integers(1, 3), max_size=30), st.lists(st.integers(1, 4), min_size=1, max_size=40))
 def test_automaton_phrases_are_longest_matches(sample, text):
     model = object.__new__(langid.Model)
-    steps = langid.suffix_automaton(sample)
-    table = np.zeros((len(steps), 5), np.int32)
-    for s, out in enumerate(steps):
-        for c, to in out.items():
-            table[s, c] = to
-    model.width, model.tables = 5, [table]
-    got = int(model.phrases(np.array([text], np.uint8), np.array([len(text)]))[0, 0])
+    model.automata = [langid.Automaton(np.array(sample, np.int64), np.arange(1, 5))]
+    got = int(model.phrases([np.array(text, np.int32)])[0, 0])
     whole, i, phrases = ",".join(map(str, sample)) + ",", 0, 0
     inside = lambda part: any(sample[k : k + len(part)] == part for k in range(len(sample) - len(part) + 1))
     # A symbol that the sample lacks opens a phrase, and what follows it may go on from the start.
@@ -228,6 +224,75 @@ def test_automaton_phrases_are_longest_matches(sample, text):
     assert got == phrases + 1
 
 
+def _sequential(sample: list[int], text: list[int]) -> int:
+    """Phrases by search, one symbol at a time; see above."""
+    subs = {tuple(sample[i:j]) for i in range(len(sample)) for j in range(i + 1, len(sample) + 1)}
+    phrases, current = 1, ()
+    for c in text:
+        if (*current, c) in subs:
+            current = (*current, c)
+        else:
+            phrases += 1
+            current = (c,) if (c,) in subs else ()
+    return phrases
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 3), max_size=40), st.lists(st.lists(st.integers(0, 4), min_size=1, max_size=90), min_size=1, max_size=5), st.integers(1, 9), st.integers(1, 4), st.integers(2, 5))
+def test_stretches_join_to_the_parse_of_the_whole_text(sample, texts, stretch, width, columns):
+    """However texts are cut, and whether symbols stand in the table or in the list."""
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(langid, "STRETCH", stretch)
+        patch.setattr(langid, "WIDTH", width)
+        patch.setattr(langid, "COLUMNS", columns)
+        model = object.__new__(langid.Model)
+        model.automata = [langid.Automaton(np.array(sample, np.int64), np.arange(1, 5)), langid.Automaton(np.array(sample[::-1], np.int64), np.arange(1, 5))]
+        got = model.phrases([np.array(t, np.int32) for t in texts])
+    assert got.tolist() == [[_sequential(x, t) for t in texts] for x in (sample, sample[::-1])]
+
+
+def test_stretches_that_never_agree_are_followed_to_the_end(monkeypatch):
+    monkeypatch.setattr(langid, "STRETCH", 5)
+    model = object.__new__(langid.Model)
+    sample = [1, 2, 3] * 7
+    model.automata = [langid.Automaton(np.array(sample, np.int64), np.arange(1, 5))]
+    text = ([1, 2, 3] * 100)[1:]
+    assert model.phrases([np.array(text, np.int32)])[0, 0] == _sequential(sample, text)
+
+
+def test_large_alphabets_and_every_letter():
+    han = [chr(0x4E00 + i) for i in range(3000)]
+    rng = np.random.default_rng(4)
+    words = lambda n: "".join(han[i] for i in rng.integers(0, 3000, n))
+    sample = "".join(han) + words(6000)
+    model = langid.Model({"zh": [sample], "en": [prose(1, 900)]})
+    lang, score, bits = model.predict([sample[500:600], prose(2, 60), chr(0x30001) + chr(0x30002), "123 !", None])
+    assert lang[:2] == ["zh", "en"] and min(score[:2]) > 0.2 and lang[2] != "und" and lang[3:] == ["und", "und"] and bits[3:] == [None, None] and bits[0] < bits[2]
+
+
+def test_a_smaller_sample_is_no_handicap():
+    """Raw phrase counts prefer the language with more text; bits do not."""
+    long, short = prose(3, 3000), " ".join(prose(4, 40)[::-1] for _ in range(3))
+    model = langid.Model({"long": [long], "short": [short]})
+    text = prose(4, 40)[::-1][:60]
+    assert model.predict([text])[0] == ["short"] and model.automata[0].bits > model.automata[1].bits
+
+
+def test_every_label_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CHARS", 300)
+    docs = [(i, f"{chr(0x4E00 + i % 260) * 3}{i} " + prose(i, 8), f"l{i % 260}") for i in range(2080)] + [(5000 + i, prose(i, 900), "long") for i in range(8)] + [(6000, "x", None), (None, "y", "nobody")]
+    model = langid.fit(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), chars=300)
+    assert set(model.languages) == {f"l{i}" for i in range(260)} | {"long"}
+
+
+def test_ties_go_to_the_first_language_and_repeated_rows_stay(spark):
+    model = langid.Model({"b": ["same words here"], "a": ["same words here"]})
+    docs = spark.createDataFrame([(1, "same words", "p", 0.5), (1, "same words", "p", 0.5)], "doc_id bigint, text string, lang_pred string, score double")
+    assert [r.lang_pred for r in langid.identify(docs, model).collect()] == ["a", "a"]
+    kept = langid.identify(docs, model, keep=True)
+    assert kept.columns == [*docs.columns, "lang_pred_", "score_", "entropy_"] and [(r.lang_pred, r.lang_pred_, r.score_) for r in kept.collect()] == [("p", "a", 0.0)] * 2
+
+
 def test_languages_held_out(spark):
     rows = queries.op7_language_id(spark, SF)
     lang = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
@@ -244,7 +309,7 @@ def test_language_of_odd_rows(spark):
     und = {r.doc_id for r in got if r.lang_pred == "und"}
     assert len(got) == len(odd_documents()) and und == {5, 6, 7, 10}
     kept = langid.identify(docs, model, keep=True)
-    assert kept.columns == [*docs.columns, "lang_pred_", "score_"] or "lang_pred" in kept.columns
+    assert kept.columns == [*docs.columns, "lang_pred_", "score_", "entropy_"] or "lang_pred" in kept.columns
     nothing = langid.fit(empty_frame(spark))
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
     assert langid.identify(empty_frame(spark), model).count() == 0
@@ -354,6 +419,21 @@ def test_pipeline_drops_what_is_planted(spark):
     assert seen[0] == {9003, 9004, 9005} and seen[1] == {9003, 9004, 9005} and seen[2] == {9003, 9005} and seen[3] == {9003}
 
 
+def test_language_stage_rejects_texts_in_no_learned_language(spark):
+    import random
+
+    r = random.Random(8)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    noise = [(9000 + i, "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300))) for i in range(20)]
+    strange = [(9100, "Suomen kieli on uralilaisten kielten ryhmään kuuluva kieli, jota puhuvat pääosin suomalaiset, ja sitä puhutaan myös Ruotsissa."), (9101, "Съешь же ещё этих мягких французских булок, да выпей чаю. Широкая электрификация южных губерний даст мощный толчок подъёму сельского хозяйства."), (9102, "short qzx")]
+    out = corpus_pipeline.language_stage(spark, docs.unionByName(spark.createDataFrame([(i, t, None, "x", 1) for i, t in noise + strange], SCHEMA)), SF)
+    ids = {x.doc_id for x in out.select("doc_id").collect()}
+    assert {i for i in ids if i >= 9000} == {9102}  # too short to be told
+    assert len(ids) == docs.count() + 1
+    nothing = corpus_pipeline.language_stage(spark, odd_frame(spark, extra=False).withColumn("lang", F.lit(None).cast("string")), SF)
+    assert {x.doc_id for x in nothing.collect()} == {x.doc_id for x in odd_frame(spark).collect()} - {5, 6, 7, 10}
+
+
 def test_entry_lists_all_queries():
     import __spark_entry__
 
