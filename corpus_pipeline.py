@@ -23,17 +23,31 @@ from locusframe.llm.text import row_blocks, utf8
 
 #: From this score on a document is toxic.
 TOXIC = 0.3
+#: Bits a character under the nearest learned language beyond which a text is in none of them.
+MOST_BITS = 5.7
+#: Letters from which on a text is long enough to be told so.
+LEAST_LETTERS = 100
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language. Null texts and texts without a letter go."""
+    """Documents in a learned language, by the prediction.
+
+    Null texts and texts without a letter go, and so do texts of ``LEAST_LETTERS``
+    letters or more whose cross-parsing entropy is over ``MOST_BITS`` under every
+    learned language. If no document has a usable label, nothing can be told and
+    every text with a letter stays.
+    """
     shared = prepare(spark).sparkContext.broadcast(langid.fit(docs))
 
     def speaks(column: pa.Array) -> np.ndarray:
         keep = np.zeros(len(column), bool)
         for start in range(0, len(column), 2048):
-            lang, _ = shared.value.predict(column.slice(start, 2048).to_pylist())
-            keep[start : start + len(lang)] = [p != "und" for p in lang]
+            texts = column.slice(start, 2048).to_pylist()
+            if not shared.value.languages:
+                keep[start : start + len(texts)] = [langid.letters(t) > 0 for t in texts]
+                continue
+            lang, _, bits = shared.value.predict(texts)
+            keep[start : start + len(texts)] = [p != "und" and (b <= MOST_BITS or langid.letters(t) < LEAST_LETTERS) for p, b, t in zip(lang, bits, texts, strict=True)]
         return keep
 
     return filter_batches(docs, "text", speaks)
