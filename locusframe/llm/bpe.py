@@ -292,3 +292,24 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """The other columns of ``docs`` with ``n_tokens``, the tokens of the whole text; null texts have none. A column of that name is replaced."""
+    spark: SparkSession = docs.sparkSession
+    with open(ranks_path, "rb") as file:
+        shared = spark.sparkContext.broadcast(file.read())
+    others = [c for c in docs.columns if c not in (text_col, "n_tokens")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(shared.value, pattern)
+        for batch in batches:
+            texts = [x or "" for x in batch.column(len(others)).to_pylist()]
+            counts: list[int] = []
+            for start, end in row_blocks(np.cumsum([0, *map(len, texts)]), DOCS_AT_ONCE):
+                some = texts[start:end]
+                counts += [len(x) // 4 for x in (codec.encode_many(some) if sum(map(len, some)) < LONG_TEXT + DOCS_AT_ONCE else map(codec.encode, some))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], [*others, "n_tokens"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema.fields), "n_tokens bigint"])
+    return docs.select(*others, text_col).mapInArrow(run, schema)

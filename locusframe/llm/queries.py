@@ -14,7 +14,7 @@ from .decontam import find_leaks
 from .html import extract_pages
 from .neardup import near_duplicates
 from .ngram_join import jaccard_components
-from .rollup import TokenRollup, whole_corpus_totals
+from .rollup import TokenRollup, token_totals, whole_corpus_totals
 from .sharding import interleave_shards
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -36,6 +36,11 @@ def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_totals(read_table(spark, sf_dir, "documents"), TokenRollup.temporary(spark), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def rollup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup of op4 over counts that SQL can make: words, and words with punctuation marks apart."""
     return whole_corpus_totals(read_table(spark, sf_dir, "documents"), TokenRollup.temporary(spark))
 
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_embedding_neardup": op3_embedding_neardup,
     "op4_token_counts": op4_token_counts,
+    "rollup_words": rollup_words,
     "op5_html_extraction": op5_html_extraction,
     "op6_ngram_join": op6_ngram_join,
     "op7_language_id": op7_language_id,
@@ -106,11 +112,11 @@ WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), o
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
 r(vec_id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.vec_id), m AS (SELECT vec_id, min(c) AS c FROM r GROUP BY 1)
 SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept FROM m""",
-    "op4_token_counts": r"""
-WITH w AS (SELECT source, lang, coalesce(strlen(text), 0) AS bytes, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS words, coalesce(len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x00-\x20]')), 0) AS marks,
-  coalesce(len(regexp_extract_all(regexp_replace(text, '[#$%&*!|]+', ' ', 'g'), '[^\x20\x09-\x0D]+')), 0) AS cleaned FROM documents)
-SELECT source, lang, 'words-1' AS tokenizer, count(*)::BIGINT AS n_docs, sum(cleaned)::BIGINT AS n_tokens, sum(bytes)::BIGINT AS n_bytes FROM w WHERE words >= 20 GROUP BY 1, 2
-UNION ALL SELECT source, lang, 'marks-1', count(*)::BIGINT, sum(marks)::BIGINT, sum(bytes)::BIGINT FROM w WHERE words >= 20 GROUP BY 1, 2""",
+    # op4's BPE counts are beyond SQL; this is its rollup over counts that are not.
+    "rollup_words": r"""
+WITH w AS (SELECT source, lang, coalesce(strlen(text), 0) AS bytes, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS words, coalesce(len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\x00-\x20]')), 0) AS marks FROM documents)
+SELECT source, lang, 'words-1' AS tokenizer, count(*)::BIGINT AS n_docs, sum(words)::BIGINT AS n_tokens, sum(bytes)::BIGINT AS n_bytes FROM w GROUP BY 1, 2
+UNION ALL SELECT source, lang, 'marks-1', count(*)::BIGINT, sum(marks)::BIGINT, sum(bytes)::BIGINT FROM w GROUP BY 1, 2""",
     "op6_ngram_join": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),

@@ -302,6 +302,61 @@ def test_interrupted_batch_is_written_again(spark, tmp_path):
     assert r.totals().count() == 1
 
 
+@pytest.mark.parametrize("name", ["..", ".", "...", "_x", "-x", ".hidden", "", "a/b", "a b", "é"])
+def test_names_that_are_no_folders_of_their_own_are_refused(spark, tmp_path, name):
+    r = rollup.TokenRollup(spark, str(tmp_path / "r"))
+    one = spark.createDataFrame([("a", "en", "v", 1, 1, 1)], "source string, lang string, tokenizer string, sign bigint, tokens bigint, bytes bigint")
+    assert r.apply("b1", one)
+    with pytest.raises(ValueError):
+        r.apply(name, one)
+    assert r.batches() == ["b1"] and r.totals().count() == 1
+
+
+def test_of_two_writers_of_a_batch_one_commits(spark, tmp_path, monkeypatch):
+    r, other = (rollup.TokenRollup(spark, str(tmp_path / "r")) for _ in range(2))
+    row = lambda n: spark.createDataFrame([("a", "en", "v", 1, n, 1)], "source string, lang string, tokenizer string, sign bigint, tokens bigint, bytes bigint")
+    asked = []
+
+    def late(batch, known=rollup.TokenRollup.committed):
+        asked.append(known(r, batch))
+        if len(asked) == 1:
+            assert other.apply("b1", row(7))  # commits after the first has looked
+        return asked[-1]
+
+    monkeypatch.setattr(r, "committed", late)
+    assert not r.apply("b1", row(5))
+    assert [x.n_tokens for x in other.totals().collect()] == [7]
+
+
+def test_readers_outlive_a_compaction(spark, tmp_path):
+    r = rollup.TokenRollup(spark, str(tmp_path / "r"))
+    row = lambda s: spark.createDataFrame([(s, "en", "v", 1, 1, 1)], "source string, lang string, tokenizer string, sign bigint, tokens bigint, bytes bigint")
+    r.compact()
+    assert r.totals().count() == 0
+    for i in range(4):
+        r.apply(f"b{i}", row(f"s{i}"))
+        began = r.totals()
+        r.compact()
+        assert began.count() == r.totals().count() == i + 1
+        assert not r.apply(f"b{i}", row("again"))
+    assert r.batches() == ["b0", "b1", "b2", "b3"] and len(r._committed("delta")) <= 2 and len(r._committed("base")) <= 2
+
+
+def test_token_totals_are_the_librarys(spark, library, tmp_path):
+    odd_frame(spark, extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(x) for x in queries.op4_token_counts(spark, str(tmp_path)).collect()}
+    want = defaultdict(lambda: [0, 0, 0])
+    for _, t, lang, source, _ in odd_documents():
+        t = t or ""
+        for name, n in ((rollup.BPE, len(library.encode_ordinary(t))), (rollup.WORD, len(_plain_words(t)))):
+            for i, x in enumerate((1, n, len(t.encode()))):
+                want[source, lang, name][i] += x
+    assert got == {(*key, *sums) for key, sums in want.items()}
+    clashing = rollup.token_totals(odd_frame(spark).selectExpr("*", "1 AS n_tokens", "2 AS words", "3 AS bytes"), rollup.TokenRollup.temporary(spark), RANKS, P.PATTERN)
+    assert {tuple(x) for x in clashing.collect()} == got
+    assert rollup.token_totals(empty_frame(spark), rollup.TokenRollup.temporary(spark), RANKS, P.PATTERN).count() == 0
+
+
 def test_rollup_of_odd_rows(spark):
     got = {tuple(x)[:5] for x in rollup.corpus_totals(odd_frame(spark), rollup.TokenRollup.temporary(spark)).filter("tokenizer = 'words-1'").collect()}
     want = defaultdict(lambda: [0, 0])
@@ -314,7 +369,7 @@ def test_rollup_of_odd_rows(spark):
 
 def test_corpus_counts_cover_every_whole_text(spark, tmp_path):
     odd_frame(spark, extra=False).unionByName(spark.createDataFrame([(90, "short $$ only", "xx", "z", 13), (91, "stone $$ river " * 20, "xx", "y", 300)], SCHEMA)).write.parquet(str(tmp_path / "documents.parquet"))
-    got = {tuple(x) for x in queries.op4_token_counts(spark, str(tmp_path)).collect()}
+    got = {tuple(x) for x in queries.rollup_words(spark, str(tmp_path)).collect()}
     want = defaultdict(lambda: [0, 0, 0])
     for x in spark.read.parquet(str(tmp_path / "documents.parquet")).collect():
         t = x.text or ""
