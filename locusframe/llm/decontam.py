@@ -4,30 +4,41 @@ Texts and items are token sequences (runs of letters and digits, A-Z folded).
 Documents meet items through shared runs of ``k`` tokens (seeds). For each
 meeting, greedy string tiling marks the longest common stretches first, never
 marking a token twice and never a stretch under ``k`` tokens; stretches are
-found by running Karp-Rabin hashes, whose length is halved until it is ``k``.
-The share of the item's tokens under tiles is its coverage, so a passage whose
+found by running Karp-Rabin hashes, whose length is halved until it is ``k``,
+and what a longer stretch leaves of another goes back in its place by length.
+Of equal stretches the first in the item, then in the text, is marked. The
+share of the item's tokens under tiles is its coverage, so a passage whose
 parts were reordered is still covered.
 
-Items with fewer than ``k`` tokens are no evidence and never match; null texts
-match nothing. Items with equal ids are tested one by one and the best counts.
-The seeds of the items are broadcast in slices of ``SLICE_WORDS`` tokens at
-most; a larger benchmark takes more passes over the documents.
+Items with fewer than ``k`` tokens are no evidence and never match; null and
+empty texts match nothing; without items or documents nothing is found. Items
+with equal ids are tested one by one and the best counts. Repeated documents,
+and documents of one id with different texts, each get rows of their own.
+Columns other than those named are ignored; texts are compared whole.
+
+Work for a document and an item grows with the pairs of equal stretches between
+them, which only repeated tokens make many. The seeds of the items are broadcast
+in slices of ``SLICE_WORDS`` tokens at most, which pass the driver one by one; a
+larger benchmark takes one more pass over the documents for each.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import filter_batches, prepare
 from .text import NOT_ALNUM, row_blocks, shingles, utf8, words
 
 #: Tokens of benchmark items that are broadcast at once (at 8 bytes for the token and 24 for its seed).
 SLICE_WORDS = 1_000_000
+#: Pairs of equal stretches that are prolonged at once.
+PAIRS = 1 << 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -51,9 +62,13 @@ class Running:
         n = len(self.sums) - s
         return (self.sums[s:] - self.sums[:n]) * self.back[:n] if n > 0 else np.zeros(0, _U)
 
+    def at(self, places: np.ndarray, s: int) -> np.ndarray:
+        """Hashes of the stretches of ``s`` tokens at some places."""
+        return (self.sums[places + s] - self.sums[places]) * self.back[places]
+
 
 def tile(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(start in item, start in text, length) of the tiles, longest first in each round."""
+    """(start in item, start in text, length) of the tiles, longest first; of equal ones the first in the item, then in the text."""
     tiles: list[tuple[int, int, int]] = []
     if min(len(item), len(text)) < least:
         return tiles
@@ -61,46 +76,62 @@ def tile(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int,
     by_item, by_text = Running(item), Running(text)
     s = min(len(item), len(text))
     while True:
-        found = _stretches(item, text, free_item, free_text, by_item, by_text, s)
-        longest = max((n for _, _, n in found), default=0)
-        if longest > 2 * s:
-            s = longest
-            continue
-        for i, j, n in sorted(found, key=lambda x: (-x[2], x[0], x[1])):
-            if free_item[i : i + n].all() and free_text[j : j + n].all():
+        queue = _stretches(item, text, free_item, free_text, by_item, by_text, s)
+        heapq.heapify(queue)
+        while queue:
+            n, i, j = heapq.heappop(queue)
+            n = -n
+            free = free_item[i : i + n] & free_text[j : j + n]
+            if free.all():
                 free_item[i : i + n] = free_text[j : j + n] = False
                 tiles.append((i, j, n))
-        # Stretches partly taken by longer ones are found again at this length or a shorter one.
-        if any(free_item[i : i + s].all() and free_text[j : j + s].all() for i, j, _ in found):
-            continue
+                continue
+            # What longer stretches have left of this one goes back, in its place by length.
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
+            for start, end in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                if end - start >= s:
+                    heapq.heappush(queue, (start - end, i + start, j + start))
         if s == least or not free_item.any():
             return tiles
-        s = s // 2 if s > 2 * least else least
+        s = max(least, s // 2)
+
+
+def _runs(free: np.ndarray) -> np.ndarray:
+    """Free tokens from each place on."""
+    taken = np.append(np.flatnonzero(~free), len(free))
+    return taken[np.searchsorted(taken, np.arange(len(free)))] - np.arange(len(free))
 
 
 def _stretches(item: np.ndarray, text: np.ndarray, free_item: np.ndarray, free_text: np.ndarray, by_item: Running, by_text: Running, s: int) -> list[tuple[int, int, int]]:
-    """Common stretches of ``s`` free tokens or more, extended as far as free tokens agree."""
-    open_ = lambda free: np.convolve(free, np.ones(s, np.int64), "valid") == s if len(free) >= s else np.zeros(0, bool)
-    left, right = np.flatnonzero(open_(free_item)), np.flatnonzero(open_(free_text))
+    """(-length, start in item, start in text) of the longest common stretches of free tokens, ``s`` tokens or more each."""
+    room_item, room_text = _runs(free_item), _runs(free_text)
+    left, right = np.flatnonzero(room_item >= s), np.flatnonzero(room_text >= s)
     if not len(left) or not len(right):
         return []
     a, b = by_item.of(s)[left], by_text.of(s)[right]
-    common = np.isin(b, a)
-    right, b = right[common], b[common]
-    places: dict[int, list[int]] = {}
-    for i, h in zip(left.tolist(), a.tolist(), strict=True):
-        places.setdefault(h, []).append(i)
-    found, reach = [], {}
-    for j, h in zip(right.tolist(), b.tolist(), strict=True):
-        for i in places[h]:
-            if reach.get(i - j, -1) >= j:  # inside a stretch on this diagonal
-                continue
-            n = 0
-            while i + n < len(item) and j + n < len(text) and free_item[i + n] and free_text[j + n] and item[i + n] == text[j + n]:
-                n += 1
-            if n >= s:
-                found.append((i, j, n))
-                reach[i - j] = j + n - s
+    order = np.argsort(a, kind="stable")
+    left, a = left[order], a[order]
+    lo, hi = np.searchsorted(a, b, "left"), np.searchsorted(a, b, "right")
+    some = np.flatnonzero(hi > lo)
+    many = np.append(0, np.cumsum((hi - lo)[some]))
+    found: list[tuple[int, int, int]] = []
+    for first, end in row_blocks(many, PAIRS):
+        row = np.repeat(some[first:end], np.diff(many[first : end + 1]))
+        place = np.arange(len(row)) - np.repeat(many[first:end] - many[first], np.diff(many[first : end + 1]))
+        i, j = left[lo[row] + place], right[row]
+        # One that the token before prolongs is part of a longer one.
+        before = (i > 0) & (j > 0)
+        before[before] = free_item[i[before] - 1] & free_text[j[before] - 1] & (item[i[before] - 1] == text[j[before] - 1])
+        i, j = i[~before], j[~before]
+        n, most = np.zeros(len(i), np.int64), np.minimum(room_item[i], room_text[j])
+        step = 1 << max(0, int(most.max(initial=1)).bit_length() - 1)
+        while step:
+            ok = np.flatnonzero(n + step <= most)
+            same = ok[by_item.at(i[ok] + n[ok], step) == by_text.at(j[ok] + n[ok], step)]
+            n[same] += step
+            step >>= 1
+        keep = n >= s
+        found += [(-n_, i_, j_) for n_, i_, j_ in zip(n[keep].tolist(), i[keep].tolist(), j[keep].tolist(), strict=True) if (item[i_ : i_ + n_] == text[j_ : j_ + n_]).all()]
     return found
 
 
@@ -172,16 +203,35 @@ def _matches(items: Items, column: pa.Array, k: int, coverage: float) -> Iterato
                 yield start + r, i, covered, [(a, int(where[b]), n) for a, b, n in tiles]
 
 
-def _slices(benchmark: DataFrame, id_col: str, text_col: str, k: int) -> list[Items]:
-    """The benchmark in slices of ``SLICE_WORDS`` tokens at most (or one item)."""
+def _best(items: Items, hits: list[tuple]) -> list[tuple]:
+    """Of the items with equal ids that a row covers, the one of which it covers most tokens."""
+    best: dict[tuple, tuple] = {}
+    for hit in hits:
+        row, i, covered, tiles = hit
+        key, rank = (row, items.ids[i]), (covered, len(items.tokens[i]), -len(tiles))
+        if key not in best or rank > best[key][0]:
+            best[key] = (rank, hit)
+    return [hit for _, hit in best.values()]
+
+
+def _slices(benchmark: DataFrame, id_col: str, text_col: str, k: int) -> Iterator[Items]:
+    """The benchmark in slices of ``SLICE_WORDS`` tokens at most (or one id), one after another; items of an id stay together."""
     rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").distinct()
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // (5 * SLICE_WORDS)))
-    out = []
+    size = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    parts = max(1, -(-size // (2 * SLICE_WORDS)))  # a token takes two bytes with what parts it from the next
     for part in range(parts):
-        table = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == part).orderBy("id", "text").toArrow()
-        out.append(_items(table["id"].to_pylist(), table["text"], k))
-    return out
+        table = rows.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).orderBy("id", "text").toArrow().combine_chunks()
+        ids, texts = table["id"].to_pylist(), table["text"].combine_chunks() if table.num_rows else pa.array([], pa.string())
+        _, _, _, at = words(*utf8(texts), NOT_ALNUM)
+        start = 0
+        while start < len(ids) or (not ids and not start and parts == 1):
+            end = max(start + 1, int(np.searchsorted(at, at[start] + SLICE_WORDS, "right")) - 1)
+            while start < end < len(ids) and ids[end - 1] == ids[end]:  # at the last id that ends in time, or else at the end of the first
+                earlier = next((e for e in range(end, start, -1) if ids[e - 1] != ids[e]), None)
+                end = earlier or next((e for e in range(end, len(ids)) if ids[e - 1] != ids[e]), len(ids))
+            end = min(end, len(ids))
+            yield _items(ids[start:end], texts.slice(start, end - start), k)
+            start = max(end, 1)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -202,7 +252,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: floa
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for batch in batches:
-                hits = list(_matches(items, batch.column(1), k, coverage))
+                hits = _best(items, list(_matches(items, batch.column(1), k, coverage)))
                 total = [len(items.tokens[i]) for _, i, _, _ in hits]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -219,8 +269,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: floa
 
         part = docs.select(id_col, text_col).mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
-    best = W.partitionBy(id_col, item_col).orderBy(F.desc("covered_words"), F.desc("item_words"), "n_tiles")
-    return found.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").drop("_rank")
+    return found
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, coverage: float = 0.5, text_col: str = "text") -> DataFrame:

@@ -268,6 +268,87 @@ def test_tiling_against_the_definition(item, text, least):
     assert max((n for *_, n in tiles), default=0) == longest
 
 
+def _plain_tiles(a: list, b: list, least: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling as defined: all longest free common stretches by search, the first of them marked, and again."""
+    used_a, used_b, tiles = set(), set(), []
+    while True:
+        best = None
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in used_a and j + n not in used_b:
+                    n += 1
+                if n >= least and (best is None or n > best[0]):
+                    best = (n, i, j)
+        if best is None:
+            return tiles
+        n, i, j = best
+        tiles.append((i, j, n))
+        used_a |= set(range(i, i + n))
+        used_b |= set(range(j, j + n))
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=22), st.lists(st.integers(0, 2), max_size=30), st.integers(2, 5), st.integers(1, 40))
+def test_tiles_are_those_of_the_definition(item, text, least, pairs):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(decontam, "PAIRS", pairs)
+        assert sorted(decontam.tile(np.array(item, np.uint64), np.array(text, np.uint64), least)) == sorted(_plain_tiles(item, text, least))
+
+
+def test_leaks_against_brute_force(spark):
+    import random
+
+    r = random.Random(12)
+    items = [(i, prose(600 + i, 12 + i)) for i in range(8)] + [(3, prose(620, 9)), (20, "the of the of the of the of"), (21, "to be"), (None, prose(621, 11))]
+    docs = []
+    for n in range(40):
+        parts = []
+        for _ in range(r.randrange(4)):
+            w = r.choice(items)[1].split()
+            cut = r.randrange(len(w) + 1)
+            parts += r.choice([w, w[cut:] + w[:cut], w[: max(1, len(w) * 6 // 10)], w[::2]])
+            parts += prose(r.randrange(10**6), r.randrange(6)).split()
+        docs.append((n % 37, r.choice([" ", ", ", "\n- "]).join(parts)))
+    docs += [docs[5], (99, None), (99, ""), (None, items[2][1])]
+    tokens = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    want = Counter()
+    for d, text in docs:
+        best = {}
+        for i, it in items:
+            a = tokens(it)
+            tiles = _plain_tiles(a, tokens(text), 5)
+            covered = sum(n for *_, n in tiles)
+            if covered and covered >= 0.5 * len(a):
+                best[i] = max(best.get(i, (0, 0, 0)), (covered, len(a), -len(tiles)))
+        want.update((d, i, n, covered, -k) for i, (covered, n, k) in best.items())
+    frame, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontam.find_leaks(frame.selectExpr("*", "1 AS item_words", "2 AS coverage", "3 AS _rank"), bench).collect()
+    assert Counter((x.doc_id, x.item_id, x.item_words, x.covered_words, x.n_tiles) for x in got) == want and len(want) > 20
+    leaking = Counter(d for d, _ in docs)
+    stay = Counter(x.doc_id for x in decontam.drop_leaks(frame, bench).collect())
+    assert set(leaking) - set(stay) <= {d for d, *_ in want} and sum(stay.values()) == sum(1 for d, t in docs if not any(2 * sum(n for *_, n in _plain_tiles(tokens(it), tokens(t), 5)) >= len(tokens(it)) and len(tokens(it)) >= 5 for _, it in items))
+
+
+def test_repeated_tokens_do_not_make_tiling_slow():
+    import time
+
+    one, period = np.ones(4000, np.uint64), np.tile(np.arange(7, dtype=np.uint64), 300)
+    began = time.process_time()
+    assert decontam.tile(one, np.ones(16_000, np.uint64), 5) == [(0, 0, 4000)]
+    assert sum(n for *_, n in decontam.tile(period, np.tile(period, 4), 5)) == len(period)
+    assert time.process_time() - began < 3
+
+
+def test_slices_hold_no_more_tokens_than_they_may(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "SLICE_WORDS", 40)
+    bench = spark.createDataFrame([(i, "a b c d e f g h i j " * (1 + i % 3)) for i in range(30)] + [(50, f"{i} " * 25) for i in range(4)], "item_id bigint, text string")
+    slices = list(decontam._slices(bench, "item_id", "text", 5))
+    assert sum(len(x.ids) for x in slices) == 34 and all(sum(map(len, x.tokens)) <= 40 or len(set(x.ids)) == 1 for x in slices)
+    assert sum(50 in x.ids for x in slices) == 1
+    assert [x.ids for x in decontam._slices(bench.limit(0), "item_id", "text", 5)] in ([], [[]])
+
+
 # Token rollups
 
 
