@@ -102,8 +102,8 @@ ORACLE: dict[str, str] = {
     "op1_sharding": """
 WITH RECURSIVE steps(b, k, c) AS (SELECT range, 0, range FROM range(0, 256) UNION ALL SELECT b, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
 crc AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8),
-d AS (SELECT doc_id, source, coalesce(text, '') AS text, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
-x AS (SELECT doc_id, source, h, strlen(text) + 8 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 2 * strlen(text), 2), lambda i: ('0x' || substr(hex(encode(text)), i, 2))::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)::BIGINT AS crc FROM d, crc),
+d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+x AS (SELECT *, md5('mix-1:' || coalesce(doc_id::VARCHAR, ':' || size || ':' || crc)) AS h FROM (SELECT doc_id, source, strlen(text) + 8 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 2 * strlen(text), 2), lambda i: ('0x' || substr(hex(encode(text)), i, 2))::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)::BIGINT AS crc FROM d, crc)),
 r AS (SELECT *, (2 * (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, size, crc) - 1) + 1) / (2 * count(*) OVER (PARTITION BY source)) AS frac FROM x),
 p AS (SELECT *, row_number() OVER (ORDER BY frac, h, doc_id, size, crc) - 1 AS place, count(*) OVER () AS n FROM r)
 SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'rows' AS law, (place * 24 // n)::INT AS shard, (place - ((place * 24 // n) * n + 23) // 24)::BIGINT AS slot, NULL::INT AS grown_shard, source FROM p""",

@@ -129,6 +129,40 @@ def test_shards_match_the_mixture(spark):
     assert again == {(r.doc_id, r.shard, r.slot) for r in rows}
 
 
+def _plain_shards(rows, shards=24):
+    """(id, shard, slot) by the definition, for rows (id, text, source)."""
+    by = defaultdict(list)
+    for i, t, s in rows:
+        raw = (t or "").encode()
+        size, crc = len(raw) + 8, zlib.crc32(raw)
+        by[s].append((hashlib.md5(f"mix-1:{i if i is not None else f':{size}:{crc}'}".encode()).hexdigest(), -1 if i is None else i, size, crc, i))
+    order = sorted(((2 * k + 1) / (2 * len(x)), *row) for x in by.values() for k, row in enumerate(sorted(x, key=lambda r: r[:4])))
+    n, out, seen = len(order), [], Counter()
+    for at, (*_, i) in enumerate(order):
+        shard = at * shards // n
+        out.append((i, shard, seen[shard]))
+        seen[shard] += 1
+    return Counter(out)
+
+
+@pytest.mark.parametrize("heavy", [2_000, 40])
+def test_shards_against_the_definition_with_sources_of_one_row(spark, monkeypatch, heavy):
+    monkeypatch.setattr(sharding, "HEAVY_ROWS", heavy)
+    rows = [(i, f"t{i}", f"host{i}") for i in range(900)] + [(1000 + i, f"u{i}", "hot") for i in range(301)] + [(None, f"v{i % 60}", "hot") for i in range(200)] + [(None, None, None)] * 3 + [(7, "t7", "host7")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert Counter((r.doc_id, r.shard, r.slot) for r in sharding.interleave_shards(docs).collect()) == _plain_shards(rows)
+
+
+def test_no_bucket_holds_one_fraction(spark, monkeypatch):
+    """Half of all rows are alone in their source and share the fraction; no bucket holds more than a few hundredths."""
+    monkeypatch.setattr(sharding, "HEAVY_ROWS", 100)
+    ranked = spark.range(6000).selectExpr("id", "'s' AS stratum", "1L AS size", "2L AS crc", "md5(cast(id AS string)) AS h", "if(id % 2 = 0, 0.5D, id / 6000D) AS frac").selectExpr("*", "cast(floor(frac * 64) AS int) AS fb")
+    got = sharding._cut_fractions(ranked, 6000)
+    order = [(r.frac, r.h) for r in got.orderBy(*sharding.BUCKET, "frac", "h").collect()]
+    assert order == sorted(order) and len(order) == 6000
+    assert max(r["count"] for r in got.groupBy(*sharding.BUCKET).count().collect()) < 200
+
+
 def test_shards_of_odd_rows(spark):
     rows = sharding.interleave_shards(odd_frame(spark), 4).collect()
     want = Counter((i, 8 + len((t or "").encode()), zlib.crc32((t or "").encode())) for i, t, *_ in odd_documents())
