@@ -14,8 +14,10 @@ block reports counts and a spanning forest of its links, never its pairs.
 
 Vectors that are null, zero, or that hold null or non-finite components link
 with nothing; vectors link with those of their own length only. Repeated ids
-get a row each. An empty table gives an empty result. Columns other than the two
-named are ignored.
+get a row each; rows without an id link like others, and their component is the
+smallest id in it, null if it has none. Equal vectors are told by a 64-bit hash:
+among n different ones two are taken for equal with a chance of n * n / 2^65. An
+empty table gives an empty result. Columns other than the two named are ignored.
 """
 
 from __future__ import annotations
@@ -211,8 +213,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         more, ties = _search(spark, nodes.filter(F.col("dim") == row["dim"]), row["n"], threshold, slack)
         links, edges = links.unionByName(more), edges.unionByName(ties)
     parts = connected_components(edges)
-    placed = nodes.select("node", "least", "c").join(parts, "node", "left").select("node", "least", "c", F.coalesce("component", "node").alias("part"))
-    named = placed.join(placed.groupBy("part").agg(F.min("least").alias("root")), "part").join(links, "node", "left").select("node", "root", (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("links"))
+    # Written first, so that a component of very many nodes is no group of the join's own stage, and a skewed join can be dealt anew.
+    roots = cut(parts.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("root")))
+    placed = nodes.select("node", "least", "c").join(parts, "node", "left").join(roots, "component", "left")
+    named = placed.join(links, "node", "left").select("node", F.coalesce("root", "least").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("links"))
     found = ids.join(named, "node", "left").select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "id").alias("component_id"))
     return found.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 

@@ -20,7 +20,10 @@ are counted, and the most frequent go last; a frequent shingle that this misses
 gives longer posting lists, never another result.
 
 Null, blank and wordless texts have size 0 and link with nothing; rows with
-equal ids each get a result. Columns other than the two named are ignored.
+equal ids each get a result. Rows without an id link like others and their
+component is the smallest id in it, null if it has none. An empty table gives an
+empty result; texts are read whole, of any length. Columns other than the two
+named are ignored.
 """
 
 from __future__ import annotations
@@ -272,9 +275,9 @@ def link_nodes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
     profiles, nodes, parts = link_nodes(docs, id_col, text_col, k, percent)
-    least = nodes.join(parts, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("c"))
-    roots = least.groupBy("c").agg(F.min("doc").alias("root"))
-    named = least.join(roots, "c").select("node", "root")
+    # Written first, so that a component of very many nodes is no group of the join's own stage, and a skewed join can be dealt anew.
+    roots = cut(parts.join(nodes.select("node", "doc"), "node").groupBy("component").agg(F.min("doc").alias("root")))
+    named = nodes.select("node", "doc").join(parts, "node", "left").join(roots, "component", "left").select("node", F.coalesce("root", "doc").alias("root"))
     return profiles.select("id", "n", "node").join(named, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
 
 

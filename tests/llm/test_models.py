@@ -201,6 +201,12 @@ def test_vectors_of_every_length_link(spark):
     assert got == {0: (2, 0), 1: (2, 0), 2: (2, 0), 10: (2, 10), 11: (2, 10), 12: (2, 10), 20: (1, 20), 21: (1, 20), 30: (0, 30)}
 
 
+def test_vectors_without_ids_link(spark):
+    rows = [(None, [1.0, 0.0]), (4, [1.0, 0.01]), (None, [0.0, 1.0]), (9, None)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == Counter([(None, 1, 4, False), (4, 1, 4, True), (None, 0, None, True), (9, 0, 9, True)])
+
+
 # Language
 
 
