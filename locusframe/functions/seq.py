@@ -9,6 +9,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def reverse_complement(s: Column | str) -> Column:
     """Reverse complement of an upper-case sequence; anything but A, C, G, T becomes N."""
     return F.translate(F.reverse(F.regexp_replace(_c(s), "[^ACGT]", "N")), "ACGT", "TGCA")
@@ -92,12 +97,12 @@ def edit_identity_at_least(a: Column, b: Column, share: float) -> Column:
     return F.when((longest > 0) & (distance <= F.floor(longest * (1 - share) + 1e-9)), identity)
 
 
-def low_complexity(s: Column | str, k: int = 5) -> Column:
-    """AT-rich, a homopolymer, of low entropy, or of few distinct k-mers."""
+def low_complexity(s: Column | str, k: int = 5, longest: int = 80) -> Column:
+    """AT-rich, with a run of ``longest`` equal letters, of low entropy, or of few distinct k-mers; texts without a k-mer have none."""
     s = _c(s)
     at = F.coalesce(letter_fraction(s, "AT"), F.lit(0.0))
-    unique = F.coalesce(kmer_uniqueness(s, k), F.lit(1.0))
-    return (at >= 0.90) | (longest_run(s) >= 0.8 * F.length(s)) | (entropy(s) < 1.25) | (unique < 0.35)
+    unique = F.coalesce(kmer_uniqueness(s, k), F.lit(0.0))
+    return (F.length(s) > 0) & ((at >= 0.90) | (longest_run(s) >= longest) | (entropy(s) < 1.25) | (unique < 0.35))
 
 
 def repeat_name_parts(name: Column | str) -> Column:

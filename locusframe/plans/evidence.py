@@ -61,9 +61,9 @@ def scalar_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GRID = [0.75 + (0.995 - 0.75) * i / 49 for i in range(50)]
 
 
-@query(f"""WITH r AS (SELECT p_partkey, p_size::DOUBLE AS n, round((0.72 + p_size / 200.0) * p_size) AS m FROM part), g AS (SELECT p_partkey, n, m, m * ln(g) + (n - m) * ln(1 - g) AS l FROM r, (SELECT unnest([{", ".join(map(repr, _GRID))}]) AS g)),
+@query(f"""WITH r AS (SELECT p_partkey, p_size::DOUBLE AS n, least(1.0, greatest(0.0, 0.72 + p_size / 150.0)) * p_size AS m FROM part), g AS (SELECT p_partkey, n, m, m * ln(g) + (n - m) * ln(1 - g) AS l FROM r, (SELECT unnest([{", ".join(map(repr, _GRID))}]) AS g)),
 t AS (SELECT p_partkey, any_value(n) AS n, any_value(m) AS m, max(l) AS top FROM g GROUP BY 1)
 SELECT p_partkey, round(top + ln(sum(exp(l - top))) - {math.log(50)!r} - (t.m * ln(0.7) + (t.n - t.m) * ln(0.3)), 6) AS log_bf FROM t JOIN g USING (p_partkey) GROUP BY p_partkey, top, t.m, t.n""")
 def identity_log_bf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixture over identities against a background identity."""
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(prob.te_identity_log_bf(0.72 + F.col("p_size") / 200.0, F.col("p_size")), 6).alias("log_bf"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(prob.te_identity_log_bf(0.72 + F.col("p_size") / 150.0, F.col("p_size")), 6).alias("log_bf"))

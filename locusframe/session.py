@@ -24,6 +24,18 @@ def build_session(master: str | None = None, **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def workers(spark: SparkSession) -> SparkSession:
+    """Make the package importable in Python workers, for functions that run there."""
+    import os
+    from pathlib import Path
+
+    root, sc = str(Path(__file__).resolve().parents[1]), spark.sparkContext
+    known = sc.environment.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
