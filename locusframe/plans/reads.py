@@ -95,7 +95,7 @@ def _query_span(cigar: Column) -> tuple[Column, Column]:
 def signatures(reads: DataFrame) -> DataFrame:
     """Insertion signatures: long CIGAR insertions of certain reads, the best split, and clips where there is neither.
 
-    Columns: qname, chrom, tid, pos, end, length, source, is_reverse.
+    Columns: qname, chrom, tid, pos, end, length, source, is_reverse, side (L or R for clips).
     """
     base = reads.filter(F.col("flag").bitwiseAND(SUPPLEMENTARY) == 0).withColumn("is_reverse", F.col("flag").bitwiseAND(REVERSE) != 0)
     found = F.filter(_walk(F.col("cigar"), F.col("pos")), lambda x: x["len"] >= LONG_INSERTION)
@@ -120,13 +120,14 @@ def signatures(reads: DataFrame) -> DataFrame:
     has_split = F.coalesce(F.col("_split.length") > 0, F.lit(False))
 
     s = cigar_summary(F.col("cigar"))
-    clip = lambda at, n: F.struct(at.cast("long").alias("pos"), n.cast("long").alias("length"), F.lit("CLIP").alias("source"))
-    clips = F.filter(F.array(clip(F.col("pos"), s["lead_clip"]), clip(ref1, s["tail_clip"])), lambda x: x["length"] >= CLIP_SIGNAL)
-    ins = F.transform("_ins", lambda x: F.struct(x["pos"].alias("pos"), x["len"].cast("long").alias("length"), F.lit("CIGAR").alias("source")))
-    own = F.concat(ins, F.when(has_split, F.array(F.struct(F.col("_split.pos").alias("pos"), F.col("_split.length").alias("length"), F.lit("SPLIT").alias("source")))).otherwise(F.array().cast("array<struct<pos:bigint,length:bigint,source:string>>")))
-    every = F.when(F.size(own) > 0, own).otherwise(F.coalesce(clips, F.array().cast("array<struct<pos:bigint,length:bigint,source:string>>")))
+    no_side, none = F.lit(None).cast("string").alias("side"), F.array().cast("array<struct<pos:bigint,length:bigint,source:string,side:string>>")
+    clip = lambda at, n, side: F.struct(at.cast("long").alias("pos"), n.cast("long").alias("length"), F.lit("CLIP").alias("source"), F.lit(side).alias("side"))
+    clips = F.filter(F.array(clip(F.col("pos"), s["lead_clip"], "L"), clip(ref1, s["tail_clip"], "R")), lambda x: x["length"] >= CLIP_SIGNAL)
+    ins = F.transform("_ins", lambda x: F.struct(x["pos"].alias("pos"), x["len"].cast("long").alias("length"), F.lit("CIGAR").alias("source"), no_side))
+    own = F.concat(ins, F.when(has_split, F.array(F.struct(F.col("_split.pos").alias("pos"), F.col("_split.length").alias("length"), F.lit("SPLIT").alias("source"), no_side))).otherwise(none))
+    every = F.when(F.size(own) > 0, own).otherwise(F.coalesce(clips, none))
     rows = base.select("qname", "chrom", "tid", "is_reverse", F.explode(every).alias("x"))
-    return rows.select("qname", "chrom", "tid", F.col("x.pos").alias("pos"), (F.col("x.pos") + 1).alias("end"), F.col("x.length").alias("length"), F.col("x.source").alias("source"), "is_reverse")
+    return rows.select("qname", "chrom", "tid", F.col("x.pos").alias("pos"), (F.col("x.pos") + 1).alias("end"), F.col("x.length").alias("length"), F.col("x.source").alias("source"), "is_reverse", F.col("x.side").alias("side"))
 
 
 #: Neighbours: closer than 250 where both come from CIGARs, else 500.
@@ -155,8 +156,10 @@ def tally(hypotheses: DataFrame, sigs: DataFrame, reads: DataFrame, near: int =
     """
     h = hypotheses.select("id", "chrom", "lo", "hi")
     around = h.withColumns({"start": F.col("lo") - near, "end": F.col("hi") + near + 1})
-    alt = intervals.points_in_intervals(sigs.select("chrom", "pos", "qname", "source"), around, ["chrom"], "pos").select(F.col("r_id").alias("id"), "qname", "source")
-    kinds = alt.groupBy("id").agg(F.countDistinct("qname").alias("alt_reads"), *(F.countDistinct(F.when(F.col("source") == s, F.col("qname"))).alias(f"alt_{s.lower()}") for s in ("CIGAR", "SPLIT", "CLIP")))
+    sided = sigs if "side" in sigs.columns else sigs.withColumn("side", F.lit(None).cast("string"))
+    alt = intervals.points_in_intervals(sided.select("chrom", "pos", "qname", "source", "side"), around, ["chrom"], "pos").select(F.col("r_id").alias("id"), "qname", "source", "side")
+    of = lambda condition, name: F.countDistinct(F.when(condition, F.col("qname"))).alias(name)
+    kinds = alt.groupBy("id").agg(F.countDistinct("qname").alias("alt_reads"), *(of(F.col("source") == s, f"alt_{s.lower()}") for s in ("CIGAR", "SPLIT", "CLIP")), *(of((F.col("source") == "CLIP") & (F.col("side") == x), f"alt_{n}_clip") for x, n in (("L", "left"), ("R", "right"))))
     primary = reads.filter(F.col("flag").bitwiseAND(SUPPLEMENTARY | SECONDARY | UNMAPPED) == 0).select("chrom", "qname", "mapq", F.col("pos").alias("start"), F.col("ref_end").alias("end"))
     spans = intervals.containment_join(h.withColumnsRenamed({"lo": "start", "hi": "end"}), primary, ["chrom"]).select("id", F.col("r_qname").alias("qname"), F.col("r_mapq").alias("mapq"))
     loud = intervals.points_in_intervals(sigs.select("chrom", "pos", "qname"), h.withColumns({"start": F.col("lo") - quiet, "end": F.col("hi") + quiet + 1}), ["chrom"], "pos").select(F.col("r_id").alias("id"), "qname")
@@ -171,8 +174,131 @@ def worth_ledger(counts: DataFrame) -> DataFrame:
     return counts.filter("alt_reads > 0 or ref_reads > 0")
 
 
-def worth_consensus(counts: DataFrame, order: list[str]) -> DataFrame:
-    """The first in order always; others with a split or insertion, or enough clips against the reference."""
-    first = F.row_number().over(W.partitionBy("chrom").orderBy(*order)) == 1
-    strong = (F.col("alt_cigar") + F.col("alt_split") > 0) | ((F.col("alt_clip") >= 3) & (F.col("alt_reads") >= 3) & (F.col("alt_reads") >= 2 * F.greatest(F.lit(1), F.col("ref_reads"))))
-    return counts.withColumn("_keep", first | strong).filter("_keep").drop("_keep")
+def keep_for_expensive(first: Column) -> Column:
+    """Whether a hypothesis is worth assembling: the first of its component always; any split or insertion; clips on
+    both sides with two reads; or clips on one side, three of them, three reads and twice the reference's."""
+    c = F.col
+    left, right = c("alt_left_clip"), c("alt_right_clip")
+    precise = (c("alt_split") > 0) | (c("alt_cigar") > 0)
+    bilateral = (left > 0) & (right > 0) & (c("alt_reads") >= 2)
+    one_sided = ((left > 0) != (right > 0)) & (F.greatest(left, right) >= 3) & (c("alt_reads") >= 3) & (c("alt_reads") >= 2 * F.greatest(F.lit(1), c("ref_reads")))
+    return first | precise | bilateral | one_sided
+
+
+def worth_consensus(counts: DataFrame, order: list[str], component: str | None = None) -> DataFrame:
+    """Hypotheses worth assembling; the first in order is the first of each component (of each contig where there is no such column)."""
+    key = component or ("component" if "component" in counts.columns else "chrom")
+    first = F.row_number().over(W.partitionBy(key).orderBy(*order)) == 1
+    return counts.withColumn("_keep", keep_for_expensive(first)).filter("_keep").drop("_keep")
+
+
+# Windows around an event
+
+
+def read_sites(reads: DataFrame) -> DataFrame:
+    """Every signal of every read: read (a key), qname, tid, chrom, mapq, flag, kind (L, R, INS or SPLIT), pos, length.
+
+    Clips of 20 bases, insertions of any length, and the places of splits that
+    imply an insertion of 50 on the same contig and strand.
+    """
+    s, pos = cigar_summary(F.col("cigar")), F.col("pos")
+    ref1 = seq.reference_end(pos, F.col("cigar"))
+    q0, q1 = _query_span(F.col("cigar"))
+    reverse = F.col("flag").bitwiseAND(REVERSE) != 0
+    site = lambda kind, at, n: F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("pos"), n.cast("long").alias("length"))
+
+    def split(x: Column) -> Column:
+        cigar = seq.parse_cigar(x["cigar"])
+        m0, m1 = _query_span(cigar)
+        mate_end, after = x["pos"] + seq.cigar_total(cigar, "MDN=X"), m0 >= q0
+        length = F.when(after, m0 - q1).otherwise(q0 - m1) - F.greatest(F.lit(0), F.when(after, x["pos"] - ref1).otherwise(pos - mate_end))
+        same = (x["chrom"] == F.col("chrom")) & ((x["strand"] == "-") == reverse)
+        return site("SPLIT", F.when(after, ref1).otherwise(mate_end), F.when(same, length).otherwise(-1))
+
+    none = F.array().cast("array<struct<kind:string,pos:bigint,length:bigint>>")
+    clips = F.filter(F.array(site("L", pos, s["lead_clip"]), site("R", ref1, s["tail_clip"])), lambda x: x["length"] >= CLIP_SIGNAL)
+    insertions = F.transform(_walk(F.col("cigar"), pos), lambda x: site("INS", x["pos"], x["len"]))
+    splits = F.array_distinct(F.filter(F.transform(seq.parse_sa("sa"), split), lambda x: x["length"] >= LONG_INSERTION))
+    every = F.concat(clips, insertions, F.coalesce(splits, none))
+    key = F.xxhash64("qname", "flag", "chrom", "pos")
+    rows = reads.filter(F.col("cigar").isNotNull()).select(key.alias("read"), "qname", "tid", "chrom", "mapq", "flag", F.explode(every).alias("x"))
+    return rows.select("read", "qname", "tid", "chrom", "mapq", "flag", "x.kind", "x.pos", "x.length")
+
+
+def local_signals(sites: DataFrame, windows: DataFrame) -> DataFrame:
+    """What each read says in each window (id, chrom, start, end; both ends included).
+
+    left_clip_pos, right_clip_pos, split_left and split_right (first and last
+    split), longest_insertion (of any length), and indel_pos: of the insertions
+    of 50 or more the one nearest the window's centre, the first of equals.
+    """
+    spans = windows.select("id", "chrom", "start", (F.col("end") + 1).alias("end"))
+    inside = intervals.points_in_intervals(sites, spans, ["chrom"], "pos")
+    centre = F.col("r_start") + F.floor((F.col("r_end") - 1 - F.col("r_start")) / 2)
+    of = lambda kind, x: F.when(F.col("kind") == kind, x)
+    long = F.when((F.col("kind") == "INS") & (F.col("length") >= LONG_INSERTION), F.struct(F.abs(F.col("pos") - centre).alias("d"), F.col("pos").alias("pos")))
+    return inside.groupBy(F.col("r_id").alias("id"), "read", "qname", "mapq", "flag").agg(
+        F.max(of("L", F.col("pos"))).alias("left_clip_pos"), F.max(of("R", F.col("pos"))).alias("right_clip_pos"), F.min(of("SPLIT", F.col("pos"))).alias("split_left"), F.max(of("SPLIT", F.col("pos"))).alias("split_right"),
+        F.coalesce(F.max(of("INS", F.col("length"))), F.lit(0)).alias("longest_insertion"), F.min(long)["pos"].alias("indel_pos"),
+    )
+
+
+# Events at a hypothesis beyond its own window
+
+# Windows for clips near candidates, for carriers of an allele, and of the background.
+CANDIDATE_REACH, CANDIDATE_SLACK, CARRIER_REACH, CARRIER_TOLERANCE, BACKGROUND, ALLELE_REACH, PIECE, PIECE_GAP = 75, 25, 500, 0.3, 4, 500, 20, 100
+
+
+def candidate_clips(hypotheses: DataFrame, candidates: DataFrame, sites: DataFrame) -> DataFrame:
+    """(id, side, qname) of clips within 25 of a breakpoint candidate (component, pos) that lies within 75 of the hypothesis (id, component, chrom, lo, hi)."""
+    near = hypotheses.join(candidates.select("component", F.col("pos").alias("candidate")), "component").filter(F.greatest(F.lit(0), F.col("lo") - F.col("candidate"), F.col("candidate") - F.col("hi")) <= CANDIDATE_REACH)
+    windows = near.select("id", "chrom", (F.col("candidate") - CANDIDATE_SLACK).alias("start"), (F.col("candidate") + CANDIDATE_SLACK + 1).alias("end")).distinct()
+    found = intervals.points_in_intervals(sites.filter("kind in ('L', 'R')"), windows, ["chrom"], "pos")
+    return found.select(F.col("r_id").alias("id"), F.col("kind").alias("side"), "qname").distinct()
+
+
+def supplement_clips(own: DataFrame, nearby: DataFrame) -> DataFrame:
+    """Clips near candidates join a hypothesis's own (id, kind, qname) only where it has a split or insertion and they come from both sides."""
+    precise = own.filter("kind in ('SPLIT', 'INS')").select("id").distinct()
+    both = nearby.groupBy("id").agg(F.countDistinct("side").alias("_n")).filter("_n = 2").select("id")
+    more = nearby.join(precise, "id", "left_semi").join(both, "id", "left_semi").select("id", F.col("side").alias("kind"), "qname")
+    return own.select("id", "kind", "qname").unionByName(more).distinct()
+
+
+def carriers(hypotheses: DataFrame, sites: DataFrame, reach: int = CARRIER_REACH) -> DataFrame:
+    """(id, qname) of certain primary reads with an insertion of the allele's length (``allele_length``, within 30 percent) in reach of a hypothesis (id, chrom, lo, hi)."""
+    windows = hypotheses.select("id", "chrom", "allele_length", F.greatest(F.lit(0), F.col("lo") - reach).alias("start"), (F.col("hi") + reach + 1).alias("end"))
+    certain = sites.filter((F.col("kind") == "INS") & (F.col("mapq") == CERTAIN_MAPQ) & (F.col("flag").bitwiseAND(SUPPLEMENTARY | SECONDARY) == 0))
+    found = intervals.points_in_intervals(certain, windows, ["chrom"], "pos")
+    low = F.greatest(F.lit(LONG_INSERTION), F.col("r_allele_length") * (1 - CARRIER_TOLERANCE))
+    return found.filter((F.col("length") >= low) & (F.col("length") <= F.col("r_allele_length") * (1 + CARRIER_TOLERANCE))).select(F.col("r_id").alias("id"), "qname").distinct()
+
+
+def background_windows(hypotheses: DataFrame, width: Column) -> DataFrame:
+    """(id, chrom, k, start, end) of four windows of a width on each side beyond the reach of an allele; those before the contig's start are left out."""
+    k = F.explode(F.sequence(F.lit(-BACKGROUND), F.lit(BACKGROUND - 1))).alias("k")
+    w = F.greatest(F.lit(1), width)
+    rows = hypotheses.select("id", "chrom", "lo", "hi", w.alias("_w"), k)
+    start = F.when(F.col("k") < 0, F.col("lo") - ALLELE_REACH + F.col("k") * F.col("_w")).otherwise(F.col("hi") + ALLELE_REACH + F.col("k") * F.col("_w"))
+    return rows.select("id", "chrom", "k", start.alias("start"), (start + F.col("_w")).alias("end")).filter("start >= 0")
+
+
+def background_signal(hypotheses: DataFrame, sites: DataFrame, reads: DataFrame, slack: int = 25, mapq: int = 20) -> DataFrame:
+    """(id, background_reads, background_hits): read windows where the insertion is not, and those that show a signal all the same."""
+    windows = background_windows(hypotheses, F.col("hi") - F.col("lo") + 2 * slack).withColumn("wid", F.struct("id", "k"))
+    primary = reads.filter(F.col("flag").bitwiseAND(SUPPLEMENTARY | SECONDARY) == 0)
+    plain = sites.filter(F.col("flag").bitwiseAND(SUPPLEMENTARY | SECONDARY) == 0).filter((F.col("kind") != "INS") | ((F.col("length") >= LONG_INSERTION) & (F.col("mapq") == CERTAIN_MAPQ)))
+    hits = intervals.points_in_intervals(plain, windows.select("wid", "chrom", "start", (F.col("end") + 1).alias("end")), ["chrom"], "pos").select(F.col("r_wid").alias("wid"), "read").distinct()
+    spans = primary.select("chrom", F.xxhash64("qname", "flag", "chrom", "pos").alias("read"), "mapq", F.col("pos").alias("start"), F.col("ref_end").alias("end"))
+    across = intervals.containment_join(windows.select("wid", "chrom", "start", "end"), spans.filter(F.col("mapq") >= mapq), ["chrom"]).select("wid", F.col("r_read").alias("read")).distinct()
+    either = hits.withColumn("hit", F.lit(1)).unionByName(across.join(hits, ["wid", "read"], "left_anti").withColumn("hit", F.lit(0)))
+    return either.groupBy("wid.id").agg(F.count(F.lit(1)).alias("background_reads"), F.sum("hit").alias("background_hits"))
+
+
+def allele_pieces(sites: DataFrame) -> DataFrame:
+    """(read, qname, chrom, pos, length, pieces): a read's insertions of 20 bases, those within 100 of one another as one event."""
+    from ..operators import islands
+
+    pieces = sites.filter((F.col("kind") == "INS") & (F.col("length") >= PIECE)).select("read", "qname", "chrom", "pos", "length")
+    marked = islands.assign_islands(pieces, ["read", "qname", "chrom"], "pos", PIECE_GAP, ["length"])
+    return marked.groupBy("read", "qname", "chrom", "island").agg(F.min("pos").alias("pos"), F.sum("length").alias("length"), F.count(F.lit(1)).alias("pieces")).drop("island")

@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import coordinate, evaluation, evidence, sequences, selection, summaries, windows  # noqa: F401
+    from . import alignments, coordinate, evaluation, evidence, models, sequences, selection, summaries, windows  # noqa: F401
 
 
 _load()
