@@ -87,20 +87,34 @@ def decoy_checks(df: DataFrame, group: str, count: str, mean: str, pooled: Colum
     return each.select("te_class", "loci", "decoys", "mean", "upper", "factor").unionByName(every)
 
 
-def empirical_tail(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Adds ``tail_p``: (1 + rows of the key with a value as large) / (2 + rows of the key)."""
+def _tail_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, _ge, _n) of the distinct values: rows as large, and rows."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     w = W.partitionBy(*keys)
-    tail = counts.select(*keys, value, F.sum("_c").over(w.orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, 0)).alias("_ge"), F.sum("_c").over(w).alias("_n"))
-    return df.join(tail, [*keys, value]).withColumn("tail_p", (1 + F.col("_ge")) / (2 + F.col("_n"))).drop("_ge", "_n")
+    return counts.select(*keys, value, F.sum("_c").over(w.orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, 0)).alias("_ge"), F.sum("_c").over(w).alias("_n"))
+
+
+def empirical_tail(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Adds ``tail_p``: (1 + rows of the key with a value as large) / (2 + rows of the key)."""
+    return df.join(_tail_counts(df, keys, value), [*keys, value]).withColumn("tail_p", (1 + F.col("_ge")) / (2 + F.col("_n"))).drop("_ge", "_n")
 
 
 def leave_one_out_null(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Adds ``null_p``: (1 + other rows as large) / (rows), -1 for a lone row."""
-    tail = empirical_tail(df, keys, value)
-    n = F.round((1 / F.col("tail_p")) * 0 + F.count(F.lit(1)).over(W.partitionBy(*keys)))
-    as_large = F.round(F.col("tail_p") * (2 + n)) - 2  # without the row itself
-    return tail.withColumn("null_p", F.when(n < 2, -1.0).otherwise((1 + as_large) / n)).drop("tail_p")
+    tail = _tail_counts(df, keys, value)
+    return df.join(tail, [*keys, value]).withColumn("null_p", F.when(F.col("_n") < 2, -1.0).otherwise(F.col("_ge") / F.col("_n"))).drop("_ge", "_n")
+
+
+def true_median(df: DataFrame, keys: list[str], value: str, name: str = "true_median") -> DataFrame:
+    """The median that averages the middle two."""
+    return df.groupBy(*keys).agg(F.median(value).alias(name))
+
+
+def log_sum_exp(df: DataFrame, keys: list[str], value: str, name: str = "log_total") -> DataFrame:
+    """Stable logarithm of the summed exponentials of a column, by key; minus infinities add nothing."""
+    top = df.groupBy(*keys).agg(F.max(value).alias("_m"))
+    rest = df.join(top, keys).groupBy(*keys).agg(F.first("_m").alias("_m"), F.sum(F.exp(F.col(value) - F.col("_m"))).alias("_s"))
+    return rest.select(*keys, F.when(F.col("_m") == F.lit(float("-inf")), F.col("_m")).otherwise(F.col("_m") + F.log("_s")).alias(name))
 
 
 def block_bootstrap(df: DataFrame, block: str, sums: list[str], draws: int, seed: int = 1) -> DataFrame:

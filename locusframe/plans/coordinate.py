@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..operators import greedy, intervals, islands
+from ..streaming import bins
 from ..session import table
 from .registry import query
 from .views import EVENTS_SQL, SPANS_SQL, days, events, order_spans
@@ -138,8 +139,8 @@ f AS (SELECT *, CASE WHEN gap <= 3600 THEN 0 ELSE 1 END AS o FROM a), s AS (SELE
 SELECT user_id, min(t) AS session_start, max(t) + 3600 AS session_end, count(*)::BIGINT AS n FROM s GROUP BY user_id, k""")
 def stream_session_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session windows of an hour, in the batch form of the streaming plan. A gap of exactly an hour joins."""
-    e = events(spark, sf_dir).withColumn("ts", F.timestamp_seconds("t"))
-    s = e.groupBy("user_id", F.session_window("ts", "3600 seconds 1 microseconds").alias("w")).agg(F.min("t").alias("session_start"), (F.max("t") + 3600).alias("session_end"), F.count(F.lit(1)).alias("n"))
+    found = bins.loci(events(spark, sf_dir), ["user_id"], "t", 3600, 0)
+    s = found.select("user_id", F.col("first").alias("session_start"), (F.col("last") + 3600).alias("session_end"), "n")
     return s.select("user_id", "session_start", "session_end", "n")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import prob, scalars as S
+from ..functions import prob, scalars as S, seq
 from ..session import table
 from . import mechanism, policy, structure, taxonomy
 from .registry import query
@@ -180,7 +180,7 @@ def _super_sql(name: str) -> str:
     return f"coalesce((SELECT c FROM wick WHERE code = upper({name})), (SELECT c FROM sup WHERE key = {n}), {prefix})"
 
 
-@query(f"""
+LIBRARY_SQL = f"""
 WITH sup AS (SELECT * FROM {_values(_SUPER_ROWS, "t(key, c)")}), lab AS (SELECT * FROM {_values(_LABEL_ROWS, "t(key, c)")}), wick AS (SELECT * FROM {_values(_WICKER_ROWS, "t(code, c, named)")}),
 h AS (SELECT k, regexp_extract(header, '^[^ ]+') AS token FROM ({_select(_HEADER, "part")})),
 p AS (SELECT token, CASE WHEN contains(token, '#') THEN split_part(token, '#', 1) WHEN contains(token, ':') THEN split_part(token, ':', 2) ELSE token END AS name, CASE WHEN contains(token, '#') THEN substr(token, strpos(token, '#') + 1) ELSE '' END AS r FROM (SELECT DISTINCT token FROM h)),
@@ -190,13 +190,22 @@ s AS (SELECT *, CASE WHEN ord <> 'NA' THEN ord WHEN label = 'NA' AND NOT contain
 t AS (SELECT *, CASE WHEN label <> 'NA' THEN (SELECT c FROM lab WHERE key = lower(label)) END AS stated, CASE WHEN superf <> 'NA' THEN nullif({_super_sql("superf")}, 'Unknown') END AS bys, nullif({_super_sql("name")}, 'Unknown') AS byn, (SELECT c FROM wick WHERE code = upper(superf)) AS wc, coalesce((SELECT named FROM wick WHERE code = upper(superf)), superf) AS named FROM s),
 u AS (SELECT *, CASE WHEN stated <> 'Unknown' AND stated <> 'NonTE' AND wc IS NOT NULL THEN wc WHEN stated <> 'Unknown' THEN stated ELSE coalesce(bys, byn, 'Unknown') END AS te_class, CASE WHEN stated <> 'Unknown' THEN 'header' WHEN bys IS NOT NULL THEN 'superfamily' WHEN byn IS NOT NULL THEN 'name' ELSE 'none' END AS source,
   CASE WHEN fam = ord AND named <> ord THEN named ELSE fam END AS f FROM t)
-SELECT k, name, te_class, named AS superfamily, source, CASE WHEN starts_with(upper(f), 'ALU') THEN 'Alu' WHEN starts_with(upper(f), 'L1') THEN 'L1' WHEN starts_with(upper(f), 'SVA') THEN 'SVA' WHEN starts_with(upper(f), 'HERV') THEN 'HERV' ELSE f END AS family FROM h JOIN u USING (token)""")
+SELECT k, name, te_class, named AS superfamily, source, CASE WHEN starts_with(upper(f), 'ALU') THEN 'Alu' WHEN starts_with(upper(f), 'L1') THEN 'L1' WHEN starts_with(upper(f), 'SVA') THEN 'SVA' WHEN starts_with(upper(f), 'HERV') THEN 'HERV' ELSE f END AS family FROM h JOIN u USING (token)"""
+
+
+@query(LIBRARY_SQL)
 def library_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Library headers in the classification: stated class, Wicker code, or a superfamily's longest prefix."""
     parts = _observe(spark, sf_dir, _HEADER, "part").select("k", taxonomy.name_parts(F.col("header")).alias("t"))
     return parts.select("k", "t.name", "t.te_class", "t.superfamily", "t.source", "t.family")
 
 
+@query(f"WITH t AS ({LIBRARY_SQL}) SELECT te_class, source, count(*)::BIGINT AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 9) AS share FROM t GROUP BY 1, 2")
+def library_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A library's entries by class and by where the class came from."""
+    return taxonomy.library_summary(_observe(spark, sf_dir, _HEADER, "part"), "header").withColumn("share", F.round("share", 9))
+
+
 _TEXT = "'ACGTTTAAAACCGGTAAAAATTTTGCATGCAAAATAAAGAAACCCATTTTAACGGNNACGTACGTTAACGCTAATATATATGGCAGAAAAAAA'"
 _ENDS_OF = {"k": "p_partkey", "s": f"substr({_TEXT}, CAST(1 + p_partkey % 61 AS INT), CAST(4 + p_partkey % 29 AS INT))", "t": f"substr({_TEXT}, CAST(1 + (p_partkey * 7) % 71 AS INT), CAST(1 + p_partkey % 17 AS INT))", "p": "CAST(p_partkey % 400 - 3 AS INT)", "n": "CAST((p_partkey * 3) % 900 - 5 AS INT)"}
 
@@ -220,6 +229,20 @@ def sequence_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_CODON = {"k": "p_partkey", "s": f"substr({_TEXT}, CAST(1 + p_partkey % 61 AS INT), CAST(14 + p_partkey % 29 AS INT)) || CASE WHEN p_partkey % 9 = 0 THEN repeat('G', 85) WHEN p_partkey % 9 = 1 THEN repeat('AT', 40) ELSE '' END", "t": f"substr({_TEXT}, CAST(1 + p_partkey % 59 AS INT), CAST(14 + p_partkey % 31 AS INT))"}
+
+
+@query(f"""
+WITH o AS ({_select(_CODON, "part")}), w AS (SELECT *, list_filter(list_transform(range(1, length(s) - 3), lambda i: substr(s, i, 5)), lambda x: NOT contains(x, 'N')) AS five, substr(s, 1, 11) AS first, list_transform(['A', 'C', 'G', 'T'], lambda c: length(s) - length(replace(s, c, ''))) AS n4 FROM o),
+r AS (SELECT rid, max(n) AS longest FROM (SELECT rid, g, count(*) AS n FROM (SELECT rid, i, c, i - row_number() OVER (PARTITION BY rid, c ORDER BY i) AS g FROM (SELECT rid, unnest(range(1, length(s) + 1)) AS i, unnest(string_split(s, '')) AS c FROM o)) GROUP BY rid, c, g) GROUP BY rid),
+x AS (SELECT *, list_sum(n4) AS n, len(list_distinct(five)) / len(five)::DOUBLE AS uniq, list_sum(list_transform(n4, lambda c: CASE WHEN c > 0 THEN -(c / list_sum(n4)::DOUBLE) * log2(c / list_sum(n4)::DOUBLE) ELSE 0 END)) AS bits FROM w JOIN r USING (rid))
+SELECT k, round(uniq, 9) AS uniqueness, least(first, reverse(translate(first, 'ACGT', 'TGCA'))) AS canonical, longest::INT AS longest, ((n4[1] + n4[4]) / n::DOUBLE >= 0.90 OR longest >= 80 OR bits < 1.25 OR uniq < 0.35) AS low, round(1 - levenshtein(s, t) / greatest(length(s), length(t))::DOUBLE, 9) AS identity FROM x""")
+def sequence_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct k-mers, strands folded, longest runs, the low-complexity veto and edit identity of short sequences."""
+    first = F.substring("s", 1, 11)
+    return _observe(spark, sf_dir, _CODON, "part").select("k", F.round(seq.kmer_uniqueness("s", 5), 9).alias("uniqueness"), seq.canonical(first).alias("canonical"), seq.longest_run("s").alias("longest"), seq.low_complexity("s").alias("low"), F.round(seq.edit_identity("s", "t"), 9).alias("identity"))
+
+
 _SPANS_OF = {"k": "l_orderkey", "line": "l_linenumber", "a0": "CAST(l_partkey % 50 AS INT)", "a1": "CAST(l_partkey % 50 + l_linenumber * 4 AS INT)", "b0": "CAST(l_suppkey % 60 AS INT)", "b1": "CAST(l_suppkey % 60 + l_orderkey % 30 AS INT)", "qc": _pick("l_orderkey", _q("", "A", "A|BC", "BC|A|D", "AB")), "token": _pick("l_partkey", _q("A", "B", "BC", "")), "num": _pick("l_suppkey", _q("12", "-7", "+3", "12abc", "", " 5", "0x1"))}
 
 

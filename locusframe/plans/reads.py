@@ -136,8 +136,10 @@ TIGHT, LOOSE = 250, 500
 
 def components(sigs: DataFrame) -> DataFrame:
     """Signatures clustered densely, then the rest by connection; one row a cluster with its supports."""
-    order = W.partitionBy("tid", "chrom").orderBy("pos", "end", "length", "qname", "source")
-    points = sigs.withColumn("id", F.concat_ws("|", F.lpad(F.col("tid").cast("string"), 6, "0"), "chrom", F.lpad(F.row_number().over(order).cast("string"), 12, "0")))
+    # Ids in the order of position, end, length and read, without a sort along a contig; equal signatures are told apart in their own small group.
+    again = F.row_number().over(W.partitionBy("tid", "chrom", "pos", "end", "length", "qname", "source").orderBy("is_reverse"))
+    padded = lambda x: F.lpad(F.col(x).cast("string"), 12, "0")
+    points = sigs.withColumn("id", F.concat_ws("|", F.lpad(F.col("tid").cast("string"), 6, "0"), "chrom", padded("pos"), padded("end"), padded("length"), "qname", "source", again.cast("string")))
     limit = F.when((F.col("x.source") == "CIGAR") & (F.col("y.source") == "CIGAR"), TIGHT).otherwise(LOOSE)
     pairs = cluster.neighbour_pairs(points, ["tid", "chrom"], "pos", LOOSE, cluster.euclid(limit, "pos", "end", "length"))
     named = cluster.strong_weak_clusters(points, pairs)

@@ -29,7 +29,7 @@ def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_returnflag, l_linestatus, round(median(l_quantity), 6) AS true_median FROM lineitem GROUP BY 1, 2")
 def true_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median that averages the middle two."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.median("l_quantity"), 6).alias("true_median"))
+    return stats.true_median(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity").withColumn("true_median", F.round("true_median", 6))
 
 
 @query("""WITH s AS (SELECT l_suppkey, l_quantity AS v, sum(l_linenumber) AS w FROM lineitem GROUP BY 1, 2), c AS (SELECT *, sum(w) OVER (PARTITION BY l_suppkey ORDER BY v ROWS UNBOUNDED PRECEDING) AS cum, sum(w) OVER (PARTITION BY l_suppkey) AS total FROM s)
@@ -77,8 +77,7 @@ def dominant_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_custkey, o_orderkey, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3""")
 def top_k_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three largest orders of each customer, ranked."""
-    w = W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("rank")).filter("rank <= 3")
+    return ranks.top_k(table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"], 3, "rank").select("o_custkey", "o_orderkey", "rank")
 
 
 @query("""SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r = 1""")
@@ -154,8 +153,7 @@ SELECT user_id, round(ln(sum(exp(n - m))) + max(m), 6) AS log_total FROM (SELECT
 def log_sum_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stable log of summed exponentials of each user's counts."""
     c = events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    top = F.max("n").over(W.partitionBy("user_id"))
-    return c.withColumn("m", top).groupBy("user_id").agg(F.round(F.log(F.sum(F.exp(F.col("n") - F.col("m")))) + F.max("m"), 6).alias("log_total"))
+    return stats.log_sum_exp(c, ["user_id"], "n").withColumn("log_total", F.round("log_total", 6))
 
 
 @query("""SELECT n_name, r_name, count(*)::BIGINT AS n_orders, round(sum(o_totalprice), 2) AS value, grouping(n_name)::INT AS is_total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)""")
