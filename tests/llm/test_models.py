@@ -1,3 +1,4 @@
+import hashlib
 import html as html_lib
 import re
 import zlib
@@ -299,6 +300,55 @@ def test_ties_go_to_the_first_language_and_repeated_rows_stay(spark):
     assert kept.columns == [*docs.columns, "lang_pred_", "score_", "entropy_"] and [(r.lang_pred, r.lang_pred_, r.score_) for r in kept.collect()] == [("p", "a", 0.0)] * 2
 
 
+def test_language_query_against_search(spark):
+    """The whole query by longest matches found with plain search in the samples that the model was made of."""
+    voices = {"aa": "the quick brown fox jumps over a lazy dog and runs", "bb": "der schnelle braune Fuchs springt \u00fcber den faulen Hund", "zz": "\u4e2d\u6587\u5b57\u7b26\u6d4b\u8bd5 \u6587\u672c\u8bed\u8a00 \u8bc6\u522b"}
+    import random
+
+    r = random.Random(3)
+    rows = []
+    for i in range(90):
+        lang = r.choice(sorted(voices))
+        words = voices[lang].split() + ([] if r.random() < 0.7 else voices["aa"].split())
+        rows.append((i, " ".join(r.choice(words) for _ in range(r.randrange(1, 14))) + r.choice(["", "!", " 42"]), lang if i % 7 else None))
+    rows += [(200, None, "aa"), (201, "", "aa"), (202, "12 %", "bb"), (203, "\U00030001\U00030002", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs)
+
+    def fold(text):
+        out = ""
+        for c in text.lower():
+            c = c if c.isalpha() else "\0"
+            if c != "\0" or not out.endswith("\0"):
+                out += c
+        return out.removeprefix("\0") if out.startswith("\0") else out
+
+    order = lambda i: hashlib.md5(f"lang:{i}".encode()).hexdigest()
+    samples = {}
+    for i, text, lang in sorted((x for x in rows if x[1] and x[2] and zlib.crc32(str(x[0]).encode()) % 4 != 2), key=lambda x: order(x[0])):
+        samples[lang] = samples.get(lang, "") + fold(text) + "\0"
+    assert sorted(samples) == model.languages
+    got = {x.doc_id: x for x in langid.identify(docs, model).collect()}
+    for i, text, _ in rows:
+        folded = fold(text or "")
+        if not folded.strip("\0"):
+            assert got[i].lang_pred == "und" and got[i].score == 0
+            continue
+        cost = {}
+        for lang, sample in samples.items():
+            phrases, current = 1, ""
+            for c in folded:
+                if current + c in sample:
+                    current += c
+                else:
+                    phrases += 1
+                    current = c if c in sample else ""
+            cost[lang] = phrases * np.log2(max(2, len(sample)))
+        best = min(sorted(cost), key=cost.get)
+        second = sorted(cost.values())[1]
+        assert got[i].lang_pred == best and np.isclose(got[i].score, 1 - cost[best] / second) and np.isclose(got[i].entropy, cost[best] / len(folded)), (i, text)
+
+
 def test_languages_held_out(spark):
     rows = queries.op7_language_id(spark, SF)
     lang = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
