@@ -188,10 +188,10 @@ def repeat_share(window: str, start: int, end: int) -> float:
     return float(tandem_mask(window, 6, 12, 3)[lo:hi].mean()) if hi > lo else 0.0
 
 
-_PLACE = "struct<shift:bigint,length:int,mismatches:int,sequence:string,repeat_share:double,chance:double>"
+_PLACE = T.StructType().add("shift", T.LongType()).add("length", T.IntegerType()).add("mismatches", T.IntegerType()).add("sequence", T.StringType()).add("repeat_share", T.DoubleType()).add("chance", T.DoubleType())
 
 
-@F.pandas_udf(f"array<{_PLACE}>")
+@F.pandas_udf(T.ArrayType(_PLACE))
 def duplications(reference: pd.Series, base: pd.Series, left: pd.Series, right: pd.Series, insert: pd.Series, shifts: pd.Series) -> pd.Series:
     """Duplications at a breakpoint and at its shifts, each with the chance of one as long at the other shifts.
 
