@@ -69,12 +69,18 @@ def position_posterior(signals: DataFrame, keys: list[str], pos: str, sigma: str
     whole positions (``pad`` beyond the signals, ``longest`` at most) is
     normalised. Returns keys, ``n_signals``, ``mode``, ``ci_lo``, ``ci_hi`` and
     ``entropy`` relative to a flat posterior; fewer than two signals give zeros.
+
+    Equal signals are counted before they meet the grid. The number of
+    partitions is stated, because AQE would size them by the rows before the
+    grid multiplies them.
     """
-    span = signals.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_signals"), F.min(pos).alias("_a"), F.max(pos).alias("_b"))
+    parts = int(signals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    signals = signals.groupBy(*keys, pos, sigma).agg(F.count(F.lit(1)).alias("_n")).repartition(parts, *keys)
+    span = signals.groupBy(*keys).agg(F.sum("_n").alias("n_signals"), F.min(pos).alias("_a"), F.max(pos).alias("_b"))
     grid = span.filter("n_signals >= 2").select(*keys, "n_signals", F.explode(F.sequence(F.col("_a") - pad, F.least(F.col("_b") + pad, F.col("_a") - pad + longest))).alias("x"))
     d = (F.col("x") - F.col(pos)) / F.col(sigma)
-    kernel = F.exp(-d * d / 2) / F.col(sigma)
-    heights = grid.join(signals.select(*keys, pos, sigma), keys).groupBy(*keys, "n_signals", "x").agg(F.sum(kernel).alias("h"))
+    kernel = F.col("_n") * F.exp(-d * d / 2) / F.col(sigma)
+    heights = grid.join(signals, keys).groupBy(*keys, "n_signals", "x").agg(F.sum(kernel).alias("h"))
     w = W.partitionBy(*keys)
     p = heights.withColumn("p", F.col("h") / F.sum("h").over(w)).withColumn("cum", F.sum("p").over(w.orderBy("x").rowsBetween(W.unboundedPreceding, 0)))
     tail = (1 - mass) / 2
