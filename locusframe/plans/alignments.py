@@ -129,7 +129,7 @@ p AS (SELECT * FROM h WHERE (flag & 2304) = 0), i AS (SELECT u.id, u.kk, p.k, bo
 SELECT id, count(*)::BIGINT AS background_reads, count(*) FILTER (WHERE hit)::BIGINT AS background_hits FROM i WHERE hit OR across GROUP BY 1""")
 def background_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The signal where the insertion is not: four windows on each side."""
-    reads = reads_of(spark, sf_dir).withColumn("ref_end", seq.reference_end(F.col("pos"), F.col("cigar")))
+    reads = reads_of(spark, sf_dir).withColumns({"read": F.col("k"), "ref_end": seq.reference_end(F.col("pos"), F.col("cigar"))})
     return R.background_signal(_intervals(spark).withColumn("hi", F.expr("lo + id % 40")), R.read_sites(reads), reads)
 
 

@@ -197,8 +197,13 @@ def worth_consensus(counts: DataFrame, order: list[str], component: str | None =
 # Windows around an event
 
 
+def read_key(reads: DataFrame) -> Column:
+    """What tells reads apart: their column ``read`` where they have one, else a hash of name, flag and place, which equal alignments share."""
+    return F.col("read") if "read" in reads.columns else F.xxhash64("qname", "flag", "chrom", "pos")
+
+
 def read_sites(reads: DataFrame) -> DataFrame:
-    """Every signal of every read: read (a key), qname, tid, chrom, mapq, flag, kind (L, R, INS or SPLIT), pos, length.
+    """Every signal of every read: read (its ``read_key``), qname, tid, chrom, mapq, flag, kind (L, R, INS or SPLIT), pos, length.
 
     Clips of 20 bases, insertions of any length, and the places of splits that
     imply an insertion of 50 on the same contig and strand.
@@ -222,8 +227,7 @@ def read_sites(reads: DataFrame) -> DataFrame:
     insertions = F.transform(_walk(F.col("cigar"), pos), lambda x: site("INS", x["pos"], x["len"]))
     splits = F.array_distinct(F.filter(F.transform(seq.parse_sa("sa"), split), lambda x: x["length"] >= LONG_INSERTION))
     every = F.concat(clips, insertions, F.coalesce(splits, none))
-    key = F.xxhash64("qname", "flag", "chrom", "pos")
-    rows = reads.filter(F.col("cigar").isNotNull()).select(key.alias("read"), "qname", "tid", "chrom", "mapq", "flag", F.explode(every).alias("x"))
+    rows = reads.filter(F.col("cigar").isNotNull()).select(read_key(reads).alias("read"), "qname", "tid", "chrom", "mapq", "flag", F.explode(every).alias("x"))
     return rows.select("read", "qname", "tid", "chrom", "mapq", "flag", "x.kind", "x.pos", "x.length")
 
 
@@ -291,7 +295,7 @@ def background_signal(hypotheses: DataFrame, sites: DataFrame, reads: DataFrame,
     primary = reads.filter(F.col("flag").bitwiseAND(SUPPLEMENTARY | SECONDARY) == 0)
     plain = sites.filter(F.col("flag").bitwiseAND(SUPPLEMENTARY | SECONDARY) == 0).filter((F.col("kind") != "INS") | ((F.col("length") >= LONG_INSERTION) & (F.col("mapq") == CERTAIN_MAPQ)))
     hits = intervals.points_in_intervals(plain, windows.select("wid", "chrom", "start", (F.col("end") + 1).alias("end")), ["chrom"], "pos").select(F.col("r_wid").alias("wid"), "read").distinct()
-    spans = primary.select("chrom", F.xxhash64("qname", "flag", "chrom", "pos").alias("read"), "mapq", F.col("pos").alias("start"), F.col("ref_end").alias("end"))
+    spans = primary.select("chrom", read_key(primary).alias("read"), "mapq", F.col("pos").alias("start"), F.col("ref_end").alias("end"))
     across = intervals.containment_join(windows.select("wid", "chrom", "start", "end"), spans.filter(F.col("mapq") >= mapq), ["chrom"]).select("wid", F.col("r_read").alias("read")).distinct()
     either = hits.withColumn("hit", F.lit(1)).unionByName(across.join(hits, ["wid", "read"], "left_anti").withColumn("hit", F.lit(0)))
     return either.groupBy("wid.id").agg(F.count(F.lit(1)).alias("background_reads"), F.sum("hit").alias("background_hits"))

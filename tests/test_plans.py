@@ -222,3 +222,15 @@ def test_entry_runs_and_names_match():
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert len(__spark_entry__.queries()) >= 60
+
+
+def test_equal_alignments_stay_apart_where_reads_have_a_key(spark):
+    alike = [("q", 0, 0, "c", 3000, 60, c, "A" * 4100, None, 0) for c in ("100S4000M", "60S4000M", "4000M")]
+    reads = frame(spark, alike).withColumn("read", F.length("qname") + F.size("cigar") * 10 + F.col("cigar")[0]["len"]).withColumn("ref_end", seq.reference_end(F.col("pos"), F.col("cigar")))
+    sites = R.read_sites(reads)
+    windows = spark.createDataFrame([(1, "c", 2990, 3010)], "id int, chrom string, start bigint, end bigint")
+    assert sorted(r.read for r in R.local_signals(sites, windows).collect()) == [81, 121]
+    places = spark.createDataFrame([(1, "c", 3600, 3610)], "id int, chrom string, lo bigint, hi bigint")
+    # Of eight windows two lie before the reads, one holds the two clips, five are crossed by all three.
+    got = R.background_signal(places, sites, reads).first()
+    assert (got.background_reads, got.background_hits) == (3 * 5 + 2, 2)
