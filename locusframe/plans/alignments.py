@@ -81,8 +81,8 @@ def event_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each read says in each window: clips, its longest insertion and the long one nearest the centre."""
     reads = reads_of(spark, sf_dir)
     windows = _intervals(spark).select("id", "chrom", F.col("lo").alias("start"), (F.col("lo") + 120).alias("end"))
-    keys = reads.select("k", F.xxhash64("qname", "flag", "chrom", "pos").alias("read"))
-    return R.local_signals(R.read_sites(reads), windows).join(keys, "read").select("id", "k", "left_clip_pos", "right_clip_pos", "longest_insertion", "indel_pos")
+    sites = R.read_sites(reads.withColumn("read", F.col("k")))
+    return R.local_signals(sites, windows).select("id", F.col("read").alias("k"), "left_clip_pos", "right_clip_pos", "longest_insertion", "indel_pos")
 
 
 _TALLY = f"""WITH {_READS}, {_KEPT}, {_SIGS}, w AS (SELECT i AS id, concat('c', CAST(i % 3 AS STRING)) AS chrom, (i * 211) % 60000 AS lo, (i * 211) % 60000 + i % 40 AS hi FROM range(900) x(i)),
