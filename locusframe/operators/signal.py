@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+
+from ..session import workers
 
 #: Un-normalised 5-tap kernel. Fixed values.
 TAPS = (0.25, 0.6, 1.0, 0.6, 0.25)
@@ -62,36 +66,140 @@ def range_count(df: DataFrame, keys: list[str], pos: str, half: int, counted, na
     return joined.drop("_p").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
-def position_posterior(signals: DataFrame, keys: list[str], pos: str, sigma: str, pad: int = 20, longest: int = 2000, mass: float = 0.9) -> DataFrame:
+def position_posterior(signals: DataFrame, keys: list[str], pos: str, sigma: str, pad: int = 20, longest: int = 2000, mass: float = 0.9, entropy: bool = True) -> DataFrame:
     """Posterior of a position from kernels around signals.
 
     Each signal is a Gaussian of its own ``sigma``; the mixture over a grid of
     whole positions (``pad`` beyond the signals, ``longest`` at most) is
-    normalised. Returns keys, ``n_signals``, ``mode``, ``ci_lo``, ``ci_hi`` and
-    ``entropy`` relative to a flat posterior; fewer than two signals give zeros.
+    normalised. Returns keys, ``n_signals``, ``mode``, ``ci_lo``, ``ci_hi`` and,
+    where asked for, ``entropy`` relative to a flat posterior; fewer than two
+    signals give zeros.
+
+    Equal signals are counted first. The grid is never made into rows: a key's
+    signals go to Python as one row, where the bounds are found by bisection.
+    """
+    workers(signals.sparkSession)
+    equal = signals.groupBy(*keys, F.col(pos).cast("long").alias("_p"), F.col(sigma).cast("double").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    one = F.when(F.col("_p").isNotNull() & F.col("_s").isNotNull(), F.struct("_p", "_s", "_n"))
+    lists = equal.groupBy(*keys).agg(F.sum("_n").alias("n_signals"), F.min("_p").alias("_a"), F.max("_p").alias("_b"), F.collect_list(one).alias("_x"))
+    several = lists.filter("n_signals >= 2 and _a is not null and size(_x) > 0").dropna(subset=keys)
+    names = [*keys, "n_signals", "mode", "ci_lo", "ci_hi", *(["entropy"] if entropy else [])]
+
+    def run(batches):
+        for batch in batches:
+            column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            x = column["_x"]
+            p, s, n = (np.asarray(v) for v in x.flatten().flatten())
+            starts = np.asarray(x.offsets) - x.offsets[0].as_py()
+            first, last = np.asarray(column["_a"]) - pad, np.asarray(column["_b"]) + pad
+            found = posteriors(starts, p, s, n.astype(np.float64), first, np.minimum(last, first + longest), (1 - mass) / 2, entropy)
+            yield pa.RecordBatch.from_arrays([*(column[k] for k in (*keys, "n_signals")), *map(pa.array, found)], names)
+
+    schema = T.StructType([*several.select(*keys, "n_signals").schema.fields, *(T.StructField(c, T.DoubleType() if c == "entropy" else T.LongType()) for c in names[len(keys) + 1 :])])
+    zero = lists.filter("n_signals < 2").select(*keys, "n_signals", *(F.lit(0.0 if c == "entropy" else 0).cast(schema[c].dataType).alias(c) for c in names[len(keys) + 1 :]))
+    return several.mapInArrow(run, schema).unionByName(zero)
+
+
+#: Signals of a key from which its whole grid is laid out. A kernel is 0 beyond so many sigmas.
+DENSE, VANISHED = 64, 39
+
+
+def posteriors(starts, p, s, n, lo, hi, tail: float, entropy: bool) -> tuple:
+    """Mode, bounds and, where asked for, entropy of every key: its signals (place, sigma, number) from ``starts``, its grid from ``lo`` to ``hi``.
 
-    Equal signals are counted before they meet the grid. The number of
-    partitions is stated, because AQE would size them by the rows before the
-    grid multiplies them.
+    Places are whole, so kernels and their running sums are tabled by offset.
     """
-    parts = int(signals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    signals = signals.groupBy(*keys, pos, sigma).agg(F.count(F.lit(1)).alias("_n")).repartition(parts, *keys)
-    span = signals.groupBy(*keys).agg(F.sum("_n").alias("n_signals"), F.min(pos).alias("_a"), F.max(pos).alias("_b"))
-    grid = span.filter("n_signals >= 2").select(*keys, "n_signals", F.explode(F.sequence(F.col("_a") - pad, F.least(F.col("_b") + pad, F.col("_a") - pad + longest))).alias("x"))
-    d = (F.col("x") - F.col(pos)) / F.col(sigma)
-    kernel = F.col("_n") * F.exp(-d * d / 2) / F.col(sigma)
-    heights = grid.join(signals, keys).groupBy(*keys, "n_signals", "x").agg(F.sum(kernel).alias("h"))
-    w = W.partitionBy(*keys)
-    p = heights.withColumn("p", F.col("h") / F.sum("h").over(w)).withColumn("cum", F.sum("p").over(w.orderBy("x").rowsBetween(W.unboundedPreceding, 0)))
-    tail = (1 - mass) / 2
-    found = p.groupBy(*keys, "n_signals").agg(
-        F.min_by("x", F.struct(-F.round("p", 12), F.col("x"))).alias("mode"),
-        F.min(F.when(F.col("cum") >= tail, F.col("x"))).alias("ci_lo"),
-        F.min(F.when(F.col("cum") >= 1 - tail, F.col("x"))).alias("ci_hi"),
-        (-F.sum(F.when(F.col("p") > 0, F.col("p") * F.log("p")).otherwise(0.0)) / F.log(F.count(F.lit(1)))).alias("entropy"),
-    )
-    zero = span.filter("n_signals < 2").select(*keys, "n_signals", *(F.lit(0).cast("long").alias(c) for c in ("mode", "ci_lo", "ci_hi")), F.lit(0.0).alias("entropy"))
-    return found.unionByName(zero)
+    sizes = np.diff(starts)
+    mode, ci_lo, ci_hi, flat = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), np.zeros(len(sizes))
+    wide = np.ones(len(sizes), bool) if entropy else sizes > DENSE
+    for g in np.flatnonzero(wide):
+        own = slice(starts[g], starts[g + 1])
+        h = _grid(p[own], s[own], n[own], lo[g], hi[g])
+        q = h / h.sum()
+        cum = np.cumsum(q)
+        at = q[q > 0]
+        mode[g] = lo[g] + np.argmax(np.rint(q * 1e12))
+        ci_lo[g], ci_hi[g] = (lo[g] + min(np.searchsorted(cum, v), len(q) - 1) for v in (tail, 1 - tail))
+        flat[g] = -(at * np.log(at)).sum() / np.log(len(q)) if len(q) > 1 else np.nan
+    if not wide.all():
+        few = np.flatnonzero(~wide)
+        keep = np.repeat(~wide, sizes)
+        mode[few], ci_lo[few], ci_hi[few] = _few(sizes[few], p[keep], s[keep], n[keep], lo[few], hi[few], tail)
+    return (mode, ci_lo, ci_hi, flat) if entropy else (mode, ci_lo, ci_hi)
+
+
+def _grid(p, s, n, lo, hi):
+    """The mixture at every place from ``lo`` to ``hi``."""
+    h = np.zeros(hi - lo + 1)
+    for sigma in np.unique(s):
+        reach = int(min(np.ceil(VANISHED * sigma), max(p.max() - lo, hi - lo)))
+        own = (s == sigma) & (p <= hi + reach)
+        counts = np.bincount(p[own] - lo + reach, n[own], len(h) + 2 * reach)
+        z = np.arange(-reach, reach + 1) / sigma
+        kernel = np.exp(-z * z / 2) / sigma
+        at = np.flatnonzero(counts)
+        if len(at) * 8 > len(h):
+            h += np.convolve(counts, kernel, "valid")
+            continue
+        for i in at:  # counts[i] lies at place i - reach of the grid
+            a, b = max(0, i - 2 * reach), min(len(h), i + 1)
+            h[a:b] += counts[i] * kernel[a - i + 2 * reach : b - i + 2 * reach]
+    return h
+
+
+def _few(sizes, p, s, n, lo, hi, tail: float):
+    """Mode and bounds of keys with few signals, all keys at once."""
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    sigmas, which = np.unique(s, return_inverse=True)
+    reach = np.minimum(np.ceil(VANISHED * sigmas), max((hi - lo).max(), (p - lo[of]).max())).astype(np.int64)
+    tables, zeros, at = [], [], 0
+    for sigma, r in zip(sigmas, reach, strict=True):
+        z = np.arange(-r, r + 1) / sigma
+        tables.append(np.concatenate(([0.0], np.exp(-z * z / 2) / sigma)))
+        zeros.append(at + r + 1)
+        at += 2 * r + 2
+    kernel, summed = np.concatenate(tables), np.concatenate([np.cumsum(t) for t in tables])
+    zero, far = np.array(zeros)[which], reach[which]
+    before = summed[zero + np.clip(lo[of] - 1 - p, -far - 1, far)]
+    heads = starts[:-1]
+
+    def mass(x):
+        return np.add.reduceat(n * (summed[zero + np.clip(x[of] - p, -far - 1, far)] - before), heads)
+
+    whole = mass(hi)
+
+    def first(share):
+        a, b = lo.copy(), hi.copy()
+        while (a < b).any():
+            middle = (a + b) // 2
+            enough = mass(middle) / whole >= share
+            a, b = np.where(enough | (a >= b), a, middle + 1), np.where(enough, middle, b)
+        return a
+
+    # At the mode the mixture reaches the highest kernel alone, so one of the kernels gives its share of that:
+    # the mode lies near its centre. The factor leaves room for ties after rounding.
+    weight = n / s
+    top = np.maximum.reduceat(np.where(p <= hi[of], weight, 0.0), heads)
+    ratio = sizes[of] * weight / top[of] * (1 + 1e-6)
+    radius = np.where(ratio >= 1, np.floor(s * np.sqrt(2 * np.log(np.maximum(ratio, 1))) + 1e-9), -1).astype(np.int64)
+    left, right = np.maximum(lo[of], p - radius), np.minimum(hi[of], p + radius)
+    counts = np.maximum(right - left + 1, 0)
+    x = np.repeat(left, counts) + _inside(counts)
+    key = np.repeat(of, counts)
+    terms = sizes[key]
+    j = np.repeat(heads[key], terms) + _inside(terms)
+    heights = np.add.reduceat(n[j] * kernel[zero[j] + np.clip(np.repeat(x, terms) - p[j], -far[j] - 1, far[j])], np.concatenate(([0], np.cumsum(terms)[:-1])))
+    level = np.rint(heights / whole[key] * 1e12)
+    edges = np.concatenate(([0], np.cumsum(np.add.reduceat(counts, heads))[:-1]))
+    best = np.maximum.reduceat(level, edges)
+    mode = np.minimum.reduceat(np.where(level == best[key], x, np.iinfo(np.int64).max), edges)
+    return mode, first(tail), first(1 - tail)
+
+
+def _inside(counts):
+    """0, 1, ... within each of the runs of these lengths."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def shift_controls(df: DataFrame, pos: str, low: str, high: str, step: int, most: int) -> DataFrame:

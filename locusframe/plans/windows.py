@@ -46,4 +46,4 @@ def kernel_posterior_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posterior of each order's ship day from kernels around its lines."""
     sigma = F.when(F.col("l_returnflag") == "N", 2.0).when(F.col("l_returnflag") == "R", 6.0).otherwise(3.0)
     s = table(spark, sf_dir, "lineitem").select("l_orderkey", days("l_shipdate").alias("d"), sigma.alias("sigma"))
-    return signal.position_posterior(s, ["l_orderkey"], "d", "sigma").drop("entropy")
+    return signal.position_posterior(s, ["l_orderkey"], "d", "sigma", entropy=False)

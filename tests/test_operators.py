@@ -188,6 +188,31 @@ def test_position_posterior(spark):
     assert got["a"].mode in (100, 101) and got["a"].ci_lo < 101 < got["a"].ci_hi and got["b"].mode == 0
 
 
+def test_position_posterior_equals_the_grid_without_making_it_rows(spark):
+    r, data, want = random.Random(4), [], {}
+    for k in range(60):
+        n = 90 if k == 0 else r.randrange(2, 9)
+        data += [(k, r.randrange(r.choice((10, 90, 3000))), r.choice((2.0, 3.0, 6.0))) for _ in range(n)]
+    data += [(60, 5, 2.0), (60, 5, 2.0), (60, 900, 2.0), (60, 900, 2.0), (61, None, 2.0), (61, 50, 3.0), (62, None, 2.0), (None, 1, 2.0), (None, 2, 2.0)]
+    for k in range(62):
+        own = [(p, s) for q, p, s in data if q == k and p is not None]
+        a, b = min(p for p, _ in own), max(p for p, _ in own)
+        xs = range(a - 20, min(b + 20, a + 1980) + 1)
+        h = [sum(math.exp(-(((x - p) / s) ** 2) / 2) / s for p, s in own) for x in xs]
+        q, cum = [v / sum(h) for v in h], 0.0
+        bounds = []
+        for x, v in zip(xs, q, strict=True):
+            cum += v
+            bounds += [x] if (len(bounds) == 0 and cum >= 0.05) or (len(bounds) == 1 and cum >= 0.95) else []
+        want[k] = (max(xs, key=lambda x: (round(q[x - xs[0]], 12), -x)), *bounds, -sum(v * math.log(v) for v in q if v > 0) / math.log(len(q)))
+    want[62] = (0, 0, 0, 0.0)
+    df = spark.createDataFrame(data, "k int, p bigint, s double")
+    full, plain = (signal.position_posterior(df, ["k"], "p", "s", entropy=e) for e in (True, False))
+    assert {x.k: (x.mode, x.ci_lo, x.ci_hi, pytest.approx(x.entropy)) for x in full.collect()} == want
+    assert {x.k: (x.mode, x.ci_lo, x.ci_hi) for x in plain.collect()} == {k: v[:3] for k, v in want.items()}
+    assert "Generate" not in plain._jdf.queryExecution().executedPlan().toString()
+
+
 def _dbscan(pts, near, least):
     """Sequential definition: points in order, clusters grow from cores, border labels are overwritten by later clusters."""
     adj = {a: [b for b in pts if b != a and near(pts[a], pts[b])] for a in pts}
