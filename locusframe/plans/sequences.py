@@ -39,8 +39,8 @@ def kmer_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id AS id, count(b.kmer)::BIGINT AS held, count(*)::BIGINT AS total, round(count(b.kmer) / count(*), 9) AS containment FROM d LEFT JOIN b USING (kmer) GROUP BY 1""")
 def kmer_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each document's windows that the benchmark has."""
-    queries = kmers.explode_windows(_docs(spark, sf_dir), "doc_id", "text", 12).select("id", "kmer")
-    return kmers.containment(queries, kmers.explode_windows(_bench(spark, sf_dir), "item_id", "text", 12)).withColumn("containment", F.round("containment", 9))
+    background = kmers.distinct_windows(_bench(spark, sf_dir), "item_id", "text", 12)
+    return kmers.text_containment(_docs(spark, sf_dir), "doc_id", "text", 12, background).withColumn("containment", F.round("containment", 9))
 
 
 @query(f"""WITH b AS (SELECT kmer, count(*) / sum(count(*)) OVER () AS q FROM (SELECT {_W.format(k=3)} AS kmer FROM benchmark WHERE len(text) >= 3) GROUP BY kmer),

@@ -296,3 +296,25 @@ def test_scoring(spark):
     bed = spark.createDataFrame([("c", 0, 20_000)], "chrom string, start bigint, end bigint")
     r = evaluate.score_calls(calls, truth, bed).first()
     assert (r.tp, r.fp, r.fn) == (1, 1, 1)
+
+
+def test_votes_and_containment_of_texts_equal_those_of_their_windows(spark, monkeypatch):
+    r = random.Random(3)
+    texts = [(i, "".join(r.choice("abé😀") for _ in range(r.randrange(40)))) for i in range(40)] + [(5, "abab"), (5, "abé"), (None, "abab"), (None, "ababa"), (50, None)]
+    items = [(j, "".join(r.choice("abé😀") for _ in range(9))) for j in range(12)] + [(None, "😀éaaaab")]
+    docs, bench = spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame(items, "id int, t string")
+    cut = lambda rows: {(i, t[j : j + 4]) for i, t in rows for j in range(len(t or "") - 3)}
+    of, own = defaultdict(set), defaultdict(set)
+    for i, w in cut(items):
+        of[w].add(i)
+    for i, w in cut(texts):
+        own[i].add(w)
+    held = {(i, sum(w in of for w in ws), len(ws)) for i, ws in own.items()}
+    votes = {(i, e, sum(of.get(w) == {e} for w in ws), len(ws)) for i, ws in own.items() if i is not None for e in {i for i, _ in items} if any(of.get(w) == {e} for w in ws)}
+    for name, value in (("LONG_TEXT", 2_000_000), ("LONG_TEXT", 30), ("CARRIED", 5)):
+        monkeypatch.setattr(kmers, name, value)
+        library = kmers.distinct_windows(bench, "id", "t", 4)
+        assert {(x.id, x.held, x.total) for x in kmers.text_containment(docs, "id", "t", 4, library).collect()} == held
+        assert {(x.id, x.entry, x.hits, x.total) for x in kmers.text_votes(docs, "id", "t", 4, library).collect()} == votes
+    monkeypatch.setattr(kmers, "_hashes", lambda points, k: points[: len(points) - k + 1].astype("uint64"))
+    assert {"abcabcabd"[j : j + 3] for j in kmers.distinct_starts("abcabcabd", 3)[1]} == {"abc", "bca", "cab", "abd"}
