@@ -58,9 +58,8 @@ q AS (SELECT DISTINCT doc_id, {_W.format(k=16)} AS kmer FROM documents WHERE len
 SELECT doc_id AS id, entry, hits::BIGINT AS hits, total::BIGINT AS total, round(hits / total, 9) AS share FROM h JOIN t USING (doc_id)""")
 def kmer_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Votes of documents' windows for the one item that holds them."""
-    library = kmers.explode_windows(_bench(spark, sf_dir), "item_id", "text", 16).select("id", "kmer")
-    queries = kmers.explode_windows(_docs(spark, sf_dir), "doc_id", "text", 16).select("id", "kmer")
-    return kmers.votes(queries, library).withColumn("share", F.round("share", 9))
+    library = kmers.distinct_windows(_bench(spark, sf_dir), "item_id", "text", 16)
+    return kmers.text_votes(_docs(spark, sf_dir), "doc_id", "text", 16, library).withColumn("share", F.round("share", 9))
 
 
 @query(f"""WITH l AS (SELECT item_id, generate_subscripts(w, 1) - 1 AS ta, unnest(w) AS kmer FROM (SELECT item_id, list_transform(range(1, len(text) - 9), lambda i: substr(text, i, 11)) AS w FROM benchmark WHERE len(text) >= 11)),
