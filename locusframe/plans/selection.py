@@ -48,16 +48,19 @@ def rate_rows(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
 def merge_loci(rows: DataFrame) -> DataFrame:
     """Adds ``locus``: islands of position, joined where consecutive ones are one allele."""
     keys = ["tid", "chrom"]
-    rows = settle(islands.assign_islands(rows, keys, "pos", LOCUS_GAP, ["row_id"], bucket=BUCKET))
+    # Rows of one position are always in one island, so only positions are windowed.
+    places = islands.assign_islands(rows.select(*keys, "pos").distinct(), keys, "pos", LOCUS_GAP, bucket=BUCKET)
+    rows = settle(rows.join(places, [*keys, "pos"]))
     carrier = F.col("allele_byseq_extra_carriers") > 0
+    # Loci that no span connects keep their number without a fold.
+    if rows.filter(carrier & (F.col("bp_left") + F.col("allele_byseq_span_lo")).isNotNull()).isEmpty():
+        return rows.withColumnRenamed("island", "locus")
     loci = rows.groupBy(*keys, "island").agg(
         F.min(F.when(carrier, F.col("bp_left") + F.col("allele_byseq_span_lo"))).alias("lo"),
         F.max(F.when(carrier, F.col("bp_left") + F.col("allele_byseq_span_hi"))).alias("hi"),
         F.median(F.when(carrier, F.col("allele_length"))).alias("size"),
     )
-    # Loci that no span connects keep their number without a fold.
-    spanned = loci.filter("lo is not null")
-    merged = greedy.merge_alleles(loci, keys, "island", "lo", "hi", "size", ALLELE_TOLERANCE) if not spanned.isEmpty() else loci.select(*keys, "island", F.col("island").alias("allele"))
+    merged = greedy.merge_alleles(loci, keys, "island", "lo", "hi", "size", ALLELE_TOLERANCE)
     return rows.join(merged, [*keys, "island"]).withColumnRenamed("allele", "locus").drop("island")
 
 

@@ -234,3 +234,11 @@ def test_equal_alignments_stay_apart_where_reads_have_a_key(spark):
     # Of eight windows two lie before the reads, one holds the two clips, five are crossed by all three.
     got = R.background_signal(places, sites, reads).first()
     assert (got.background_reads, got.background_hits) == (3 * 5 + 2, 2)
+
+
+def test_loci_window_positions_and_not_rows(spark, monkeypatch):
+    seen, assign = [], S.islands.assign_islands
+    monkeypatch.setattr(S.islands, "assign_islands", lambda df, *a, **k: (seen.append(df.count()), assign(df, *a, **k))[1])
+    data = [(i, 0, "c", p, p, 0, None, None, None) for i, p in enumerate((5, 5, 5, 200, 900, 900))]
+    rows = spark.createDataFrame(data, "row_id int, tid int, chrom string, pos bigint, bp_left bigint, allele_byseq_extra_carriers int, allele_byseq_span_lo bigint, allele_byseq_span_hi bigint, allele_length int")
+    assert {r.row_id: r.locus for r in S.merge_loci(rows).collect()} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 2, 5: 2} and seen == [3]
