@@ -50,20 +50,30 @@ def expand_peaks(df: DataFrame, keys: list[str], peaks_: DataFrame, cell: str =
 
 
 def range_count(df: DataFrame, keys: list[str], pos: str, half: int, counted, name: str = "near") -> DataFrame:
-    """Adds the number of counted rows within ``half`` of each row, by bucket prefix sums.
+    """Adds the number of counted rows within ``half`` of each row. Rows of one position are counted first."""
+    places = df.groupBy(*keys, F.col(pos).alias("_p")).agg(F.count(F.when(counted, 1)).alias("_c"))
+    counts = sum_near(places, keys, "_p", half, "_c", name).select(*keys, "_p", name)
+    joined = df.withColumn("_p", F.col(pos)).join(counts, [*keys, "_p"], "left")
+    return joined.drop("_p").withColumn(name, F.coalesce(name, F.lit(0)))
+
 
-    A RANGE frame over a whole key would sort it in one task. Here rows are
-    spread to the three buckets of width ``half`` that can see them, and windows
-    run inside a bucket.
+def sum_near(df: DataFrame, keys: list[str], pos: str, half: int, weight: str, name: str = "near") -> DataFrame:
+    """Adds the sum of a whole ``weight`` over the rows within ``half`` of each row, as a difference of running sums.
+
+    A frame with two moving ends is added up anew for every row. Here each
+    frame begins with its bucket, so every row is added once. Buckets are wide
+    against ``half``, and rows near an edge are in the next one too.
     """
-    own = df
-    events = own.filter(counted).groupBy(*keys, F.col(pos).alias("_p")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_p") / half).cast("long") - 1, F.floor(F.col("_p") / half).cast("long") + 1)))
-    asks = own.select(*keys, F.col(pos).alias("_p")).distinct().withColumn("_b", F.floor(F.col("_p") / half).cast("long"))
-    both = asks.select(*keys, "_b", "_p", F.lit(0).cast("long").alias("_c"), F.lit(1).alias("_q")).unionByName(events.select(*keys, "_b", "_p", "_c", F.lit(0).alias("_q")))
-    w = W.partitionBy(*keys, "_b").orderBy("_p").rangeBetween(-half, half)
-    counts = both.withColumn(name, F.sum("_c").over(w)).filter("_q = 1").select(*keys, "_p", name)
-    joined = own.withColumn("_p", F.col(pos)).join(counts, [*keys, "_p"], "left")
-    return joined.drop("_p").withColumn(name, F.coalesce(name, F.lit(0)))
+    width = max(1, 8 * half)
+    bucket = lambda x: F.floor(x / width).cast("long")
+    spread = df.withColumn("_b", F.explode_outer(F.sequence(bucket(F.col(pos) - half), bucket(F.col(pos) + half))))
+    w = W.partitionBy(*keys, "_b")
+    upto = F.sum(weight).over(w.orderBy(pos).rangeBetween(W.unboundedPreceding, half))
+    if isinstance(df.schema[pos].dataType, T.IntegralType):
+        near = upto - F.coalesce(F.sum(weight).over(w.orderBy(pos).rangeBetween(W.unboundedPreceding, -half - 1)), F.lit(0))
+    else:  # no position is the next one below
+        near = upto + F.sum(weight).over(w.orderBy(F.desc(pos)).rangeBetween(W.unboundedPreceding, half)) - F.sum(weight).over(w)
+    return spread.withColumn(name, near).filter(F.col("_b").eqNullSafe(bucket(F.col(pos)))).drop("_b")
 
 
 def position_posterior(signals: DataFrame, keys: list[str], pos: str, sigma: str, pad: int = 20, longest: int = 2000, mass: float = 0.9, entropy: bool = True) -> DataFrame:

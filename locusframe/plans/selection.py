@@ -28,40 +28,63 @@ BUCKET = 5_000_000
 
 
 def rate_rows(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``collapsed``, ``artifact``, ``adjusted`` and ``e``; the decoy checks)."""
+    """(rows with ``artifact`` and, as if nothing were collapsed, ``e``; the decoy checks)."""
     rows = ledger.withColumn("_class", F.when(F.col("te_annotation_class").isNull() | (F.col("te_annotation_class") == ""), "NA").otherwise(F.col("te_annotation_class")))
-    rows = signal.range_count(rows, ["chrom"], "pos", COLLAPSE_HALF, F.greatest(F.lit(0), F.col("ref_span_reads")) <= COLLAPSE_REF_SPAN, "_near")
-    rows = settle(rows.withColumn("collapsed", F.col("_near") >= COLLAPSE_ROWS).drop("_near"))
     checks = stats.decoy_checks(rows, "_class", "mech_decoy_count", "mech_decoy_mean_exp_linkage", ~F.col("_class").isin(*NOT_TE))
-    factor = checks.filter("te_class <> 'ALL'").select(F.col("te_class").alias("_class"), F.log("factor").alias("_lf"))
-    rows = rows.join(factor, "_class", "left").withColumn("_lf", F.coalesce("_lf", F.lit(0.0)))
+    factor = settle(checks.filter("te_class <> 'ALL'").select(F.col("te_class").alias("_class"), F.log("factor").alias("_lf")))
+    rows = rows.join(F.broadcast(factor), "_class", "left").withColumn("_lf", F.coalesce("_lf", F.lit(0.0)))  # one row a class name
     own = F.col("mech_log_lr_vs_artifact")
     allele = F.when(F.col("allele_byseq_extra_carriers") > 0, own - F.col("mech_counts_term") + F.col("mech_counts_allele_byseq")).otherwise(own)
-    return (
-        rows.withColumns({"artifact": own - F.col("_lf"), "_le": F.least(allele - F.col("_lf"), F.lit(MOST_EXPONENT))})
-        .withColumns({"adjusted": F.when(F.col("collapsed"), F.lit(-math.inf)).otherwise(F.col("artifact")), "e": F.when(F.col("collapsed"), 0.0).otherwise(F.exp("_le"))})
-        .drop("_lf", "_le", "_class"),
-        checks,
+    return rows.withColumns({"artifact": own - F.col("_lf"), "e": F.exp(F.least(allele - F.col("_lf"), F.lit(MOST_EXPONENT)))}).drop("_lf", "_class"), checks
+
+
+def rate_places(rows: DataFrame) -> DataFrame:
+    """One row a position: ``n_rows``, sum ``_e`` and largest ``_m`` of the e-values, its first row ``_first`` (-adjusted, pos, row_id), and ``collapsed``.
+
+    Collapse depends on the position alone, so rows are never windowed or joined with it.
+    """
+    counted = F.greatest(F.lit(0), F.col("ref_span_reads")) <= COLLAPSE_REF_SPAN
+    places = rows.groupBy("tid", "chrom", "pos").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(F.when(counted, 1)).alias("_c"), F.sum("e").alias("_e"), F.max("e").alias("_m"), F.min(F.struct(-F.col("artifact"), F.col("row_id"))).alias("_best"), F.min("row_id").alias("_least")
     )
+    near = signal.sum_near(settle(places), ["chrom"], "pos", COLLAPSE_HALF, "_c", "_near").withColumn("collapsed", F.col("_near") >= COLLAPSE_ROWS)
+    kept = lambda zero, own: F.when(F.col("collapsed"), zero).otherwise(own)
+    first = F.struct(kept(F.lit(math.inf), F.col("_best.col1")).alias("adjusted"), F.col("pos"), kept(F.col("_least"), F.col("_best.row_id")).alias("row_id"))
+    return near.select("tid", "chrom", "pos", "n_rows", kept(F.lit(0.0), F.col("_e")).alias("_e"), kept(F.lit(0.0), F.col("_m")).alias("_m"), first.alias("_first"), "collapsed")
 
 
-def merge_loci(rows: DataFrame) -> DataFrame:
-    """Adds ``locus``: islands of position, joined where consecutive ones are one allele."""
+def merge_places(places: DataFrame, rows: DataFrame) -> DataFrame:
+    """Adds ``locus`` to the positions of the rows: islands, joined where consecutive ones are one allele."""
     keys = ["tid", "chrom"]
-    # Rows of one position are always in one island, so only positions are windowed.
-    places = islands.assign_islands(rows.select(*keys, "pos").distinct(), keys, "pos", LOCUS_GAP, bucket=BUCKET)
-    rows = settle(rows.join(places, [*keys, "pos"]))
-    carrier = F.col("allele_byseq_extra_carriers") > 0
+    places = islands.assign_islands(places, keys, "pos", LOCUS_GAP, bucket=BUCKET)
+    carriers = rows.filter(F.col("allele_byseq_extra_carriers") > 0)
     # Loci that no span connects keep their number without a fold.
-    if rows.filter(carrier & (F.col("bp_left") + F.col("allele_byseq_span_lo")).isNotNull()).isEmpty():
-        return rows.withColumnRenamed("island", "locus")
-    loci = rows.groupBy(*keys, "island").agg(
-        F.min(F.when(carrier, F.col("bp_left") + F.col("allele_byseq_span_lo"))).alias("lo"),
-        F.max(F.when(carrier, F.col("bp_left") + F.col("allele_byseq_span_hi"))).alias("hi"),
-        F.median(F.when(carrier, F.col("allele_length"))).alias("size"),
-    )
+    if carriers.filter((F.col("bp_left") + F.col("allele_byseq_span_lo")).isNotNull()).isEmpty():
+        return places.withColumnRenamed("island", "locus")
+    places = settle(places)
+    spans = carriers.join(places.select(*keys, "pos", "island"), [*keys, "pos"]).groupBy(*keys, "island").agg(
+        F.min(F.col("bp_left") + F.col("allele_byseq_span_lo")).alias("lo"), F.max(F.col("bp_left") + F.col("allele_byseq_span_hi")).alias("hi"), F.median("allele_length").alias("size")
+    )
+    loci = places.select(*keys, "island").distinct().join(spans, [*keys, "island"], "left")
     merged = greedy.merge_alleles(loci, keys, "island", "lo", "hi", "size", ALLELE_TOLERANCE)
-    return rows.join(merged, [*keys, "island"]).withColumnRenamed("allele", "locus").drop("island")
+    return places.join(merged, [*keys, "island"]).withColumnRenamed("allele", "locus").drop("island")
+
+
+def merge_loci(rows: DataFrame) -> DataFrame:
+    """Adds ``locus`` to rows. Rows of one position are always in one locus, so only positions are windowed."""
+    at = ["tid", "chrom", "pos"]
+    return rows.join(merge_places(rows.select(*at).distinct(), rows), at)
+
+
+def rank_loci(ledger: DataFrame, q: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(one row a locus with mean e-value, rank and whether it is selected; the positions with their locus; the rated rows)."""
+    rows, _ = rate_rows(ledger)
+    places = settle(merge_places(settle(rate_places(rows)), rows))
+    sums = places.groupBy("tid", "chrom", "locus").agg(F.sum("n_rows").alias("n_rows"), F.sum("_e").alias("_e"), F.max("_m").alias("_m"), F.min("pos").alias("first_pos"), F.min("_first").alias("_first"))
+    # A sum over rows at the cap overflows, a mean does not: halve through the largest.
+    mean = F.when(F.col("_e") == F.lit(math.inf), F.col("_m")).otherwise(F.col("_e") / F.col("n_rows"))
+    loci = sums.select("tid", "chrom", "locus", "n_rows", "first_pos", mean.alias("mean_e"), F.col("_first.pos").alias("rep_pos"), F.col("_first.row_id").alias("rep_row"))
+    return ranks.select_by_evalue(settle(loci), "mean_e", q, ["tid", "chrom", "first_pos"]), places, rows
 
 
 def select_loci(ledger: DataFrame, q: float) -> DataFrame:
@@ -70,27 +93,22 @@ def select_loci(ledger: DataFrame, q: float) -> DataFrame:
     ``call`` is ``TE`` or ``STRUCTURAL`` for selected loci, else null;
     ``call_pos`` is -1 where the representative's own breakpoint stands.
     """
-    rated, _ = rate_rows(ledger)
-    rows = merge_loci(settle(rated))
-    keys = ["tid", "chrom", "locus"]
-    first = F.struct(-F.col("adjusted"), F.col("pos"), F.col("row_id"))
-    rep = F.struct("row_id", "pos", "bp_left", "bp_right", "alt_indel_reads", "te_union_coverage", "te_union_covered_bp", "te_dominant_class", "alt_measured_lengths")
-    n = F.count(F.lit(1))
-    sums = rows.groupBy(*keys).agg(n.alias("n_rows"), F.sum("e").alias("_e"), F.max("e").alias("_m"), F.min("pos").alias("first_pos"), F.min_by(rep, first).alias("rep"))
-    # A sum over rows at the cap overflows, a mean does not: halve through the largest.
-    loci = sums.withColumn("mean_e", F.when(F.col("_e") == F.lit(math.inf), F.col("_m")).otherwise(F.col("_e") / F.col("n_rows"))).drop("_e", "_m")
-    loci = ranks.select_by_evalue(settle(loci), "mean_e", q, ["tid", "chrom", "first_pos"])
-    wide = loci.filter("selected and rep.bp_left <> rep.bp_right").select(*keys, F.col("rep.bp_left").alias("_l"), F.col("rep.bp_right").alias("_r"), (PLACEMENT_SHARE * F.greatest(F.lit(1), F.col("rep.alt_indel_reads"))).alias("_need"))
-    near = rows.join(wide, keys).filter((F.col("bp_left") == F.col("bp_right")) & (F.col("bp_left") >= 0) & F.col("pos").between(F.col("_l") - PLACEMENT_WINDOW, F.col("_r") + PLACEMENT_WINDOW) & (F.col("alt_indel_reads") >= F.col("_need")))
+    loci, places, rows = rank_loci(ledger, q)
+    loci, keys, at = settle(loci), ["tid", "chrom", "locus"], ["tid", "chrom", "pos"]
+    # Only representatives of selected loci are looked up, and rows near wide ones.
+    picked = loci.filter("selected").select(*keys, F.col("rep_pos").alias("pos"), F.col("rep_row").alias("row_id"))
+    reps = settle(ledger.join(picked, [*at, "row_id"]).select(*keys, "bp_left", "bp_right", "alt_indel_reads", "te_union_coverage", "te_union_covered_bp", "te_dominant_class", "alt_measured_lengths").dropDuplicates(keys))
+    wide = reps.filter("bp_left <> bp_right").select(*keys, F.col("bp_left").alias("_l"), F.col("bp_right").alias("_r"), (PLACEMENT_SHARE * F.greatest(F.lit(1), F.col("alt_indel_reads"))).alias("_need"))
+    around = places.select(*keys, "pos").join(wide, keys).filter(F.col("pos").between(F.col("_l") - PLACEMENT_WINDOW, F.col("_r") + PLACEMENT_WINDOW))
+    near = rows.filter("bp_left = bp_right and bp_left >= 0").join(around, at).filter(F.col("alt_indel_reads") >= F.col("_need"))
     placed = near.groupBy(*keys).agg(F.min_by("bp_left", F.struct(-F.col("alt_indel_reads"), -F.col("artifact"), F.col("pos"), F.col("row_id"))).alias("call_pos"))
-    lengths = F.sort_array("rep.alt_measured_lengths")
+    lengths = F.sort_array("alt_measured_lengths")
     m = F.size(lengths)
-    at = lambda i: F.get(lengths, i.cast("int")).cast("double")
-    median = F.when(m > 0, (at(F.floor((m - 1) / 2)) + at(F.floor(m / 2))) / 2)
-    te = (F.col("rep.te_union_coverage") >= TE_COVERAGE) & (F.col("rep.te_union_covered_bp") >= TE_BASES) & ~F.coalesce("rep.te_dominant_class", F.lit("")).isin(*NOT_TE) & (median.isNull() | (median >= TE_BASES))
-    return loci.join(placed, keys, "left").select(
-        *keys, "n_rows", "first_pos", "mean_e", "rank", "m", "selected", F.col("rep.row_id").alias("rep_row"), F.when(F.col("selected"), F.when(te, "TE").otherwise("STRUCTURAL")).alias("call"), F.coalesce("call_pos", F.lit(-1)).cast("long").alias("call_pos")
-    )
+    value = lambda i: F.get(lengths, i.cast("int")).cast("double")
+    median = F.when(m > 0, (value(F.floor((m - 1) / 2)) + value(F.floor(m / 2))) / 2)
+    te = (F.col("te_union_coverage") >= TE_COVERAGE) & (F.col("te_union_covered_bp") >= TE_BASES) & ~F.coalesce("te_dominant_class", F.lit("")).isin(*NOT_TE) & (median.isNull() | (median >= TE_BASES))
+    calls = reps.select(*keys, F.when(te, "TE").otherwise("STRUCTURAL").alias("call")).join(placed, keys, "left")
+    return loci.join(calls, keys, "left").select(*keys, "n_rows", "first_pos", "mean_e", "rank", "m", "selected", "rep_row", "call", F.coalesce("call_pos", F.lit(-1)).cast("long").alias("call_pos"))
 
 
 def finalize(ledger: DataFrame, selected: DataFrame) -> DataFrame:
@@ -132,7 +150,7 @@ k AS (SELECT *, row_number() OVER (ORDER BY round(mean_e, 9) DESC, chrom, first_
 SELECT chrom, locus::BIGINT AS locus, n_rows::BIGINT AS n_rows, first_pos, round(mean_e, 6) AS mean_e, rep_row, coalesce(rank <= cut, false) AS selected FROM k, cut""")
 def locus_mean_evalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-run selection over the events' ledger at q = 0.5."""
-    s = select_loci(event_ledger(spark, sf_dir), 0.5)
+    s, _, _ = rank_loci(event_ledger(spark, sf_dir), 0.5)
     return s.select("chrom", "locus", "n_rows", "first_pos", F.round("mean_e", 6).alias("mean_e"), "rep_row", "selected")
 
 

@@ -182,6 +182,16 @@ def test_range_counts_and_peaks(spark):
     assert h.count() == 10 and [r.cell for r in signal.peaks(h, ["k"], 1.2).collect()] == [0]
 
 
+def test_range_counts_add_every_row_once(spark):
+    data = [(i, k, p) for i, (k, p) in enumerate((k, p) for k in "ab" for p in (-801, -800, -799, -90, -89, 0, 0, 100, 101, 799, 800, 801, 900, 1700))]
+    for kind, by in (("bigint", 1), ("int", 1), ("double", 0.5)):
+        df = spark.createDataFrame([(i, k, p * by) for i, k, p in data], f"id int, k string, p {kind}")
+        near = signal.range_count(df, ["k"], "p", 100, F.col("id") % 3 > 0)
+        assert {r.id: r.near for r in near.collect()} == {i: sum(j % 3 > 0 and q == k and abs(x - p) * by <= 100 for j, q, x in data) for i, k, p in data}
+        # A frame with two moving ends adds up all its rows for each of them.
+        assert "RangeFrame, -100, 100" not in near._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_position_posterior(spark):
     df = spark.createDataFrame([("a", 100, 2.0), ("a", 101, 2.0), ("a", 140, 8.0), ("b", 7, 2.0)], "k string, p bigint, s double")
     got = {r.k: r for r in signal.position_posterior(df, ["k"], "p", "s").collect()}

@@ -236,6 +236,18 @@ def test_equal_alignments_stay_apart_where_reads_have_a_key(spark):
     assert (got.background_reads, got.background_hits) == (3 * 5 + 2, 2)
 
 
+def test_selection_rates_positions_and_not_rows(spark, monkeypatch):
+    seen, near, assign = [], S.signal.sum_near, S.islands.assign_islands
+    monkeypatch.setattr(S.signal, "sum_near", lambda df, *a, **k: (seen.append(df.count()), near(df, *a, **k))[1])
+    monkeypatch.setattr(S.islands, "assign_islands", lambda df, *a, **k: (seen.append(df.count()), assign(df, *a, **k))[1])
+    apart = [dict(pos=p, mech_log_lr_vs_artifact=math.log(e)) for p, e in ((100, 2.0), (100, 6.0), (100, 6.0), (300, 6.0), (9000, 3.0))]
+    dense = [dict(pos=5_000_000 + i // 4, ref_span_reads=1, mech_log_lr_vs_artifact=float(i % 4)) for i in range(104)]
+    loci, _, _ = S.rank_loci(ledger(spark, *apart, *dense), 1.0)
+    # The first of equal rows stands for its locus; where all is collapsed, so do rows by position and id.
+    assert sorted((r.n_rows, round(r.mean_e, 9), r.first_pos, r.rep_row) for r in loci.collect()) == [(1, 3.0, 9000, 4), (4, 5.0, 100, 1), (104, 0.0, 5_000_000, 5)]
+    assert seen == [29, 29]
+
+
 def test_loci_window_positions_and_not_rows(spark, monkeypatch):
     seen, assign = [], S.islands.assign_islands
     monkeypatch.setattr(S.islands, "assign_islands", lambda df, *a, **k: (seen.append(df.count()), assign(df, *a, **k))[1])
