@@ -96,18 +96,21 @@ def select_loci(ledger: DataFrame, q: float) -> DataFrame:
     loci, places, rows = rank_loci(ledger, q)
     loci, keys, at = settle(loci), ["tid", "chrom", "locus"], ["tid", "chrom", "pos"]
     # Only representatives of selected loci are looked up, and rows near wide ones.
-    picked = loci.filter("selected").select(*keys, F.col("rep_pos").alias("pos"), F.col("rep_row").alias("row_id"))
-    reps = settle(ledger.join(picked, [*at, "row_id"]).select(*keys, "bp_left", "bp_right", "alt_indel_reads", "te_union_coverage", "te_union_covered_bp", "te_dominant_class", "alt_measured_lengths").dropDuplicates(keys))
-    wide = reps.filter("bp_left <> bp_right").select(*keys, F.col("bp_left").alias("_l"), F.col("bp_right").alias("_r"), (PLACEMENT_SHARE * F.greatest(F.lit(1), F.col("alt_indel_reads"))).alias("_need"))
-    around = places.select(*keys, "pos").join(wide, keys).filter(F.col("pos").between(F.col("_l") - PLACEMENT_WINDOW, F.col("_r") + PLACEMENT_WINDOW))
-    near = rows.filter("bp_left = bp_right and bp_left >= 0").join(around, at).filter(F.col("alt_indel_reads") >= F.col("_need"))
-    placed = near.groupBy(*keys).agg(F.min_by("bp_left", F.struct(-F.col("alt_indel_reads"), -F.col("artifact"), F.col("pos"), F.col("row_id"))).alias("call_pos"))
+    picked = loci.filter("selected").select(*keys, "rep_pos", "rep_row")
     lengths = F.sort_array("alt_measured_lengths")
     m = F.size(lengths)
     value = lambda i: F.get(lengths, i.cast("int")).cast("double")
     median = F.when(m > 0, (value(F.floor((m - 1) / 2)) + value(F.floor(m / 2))) / 2)
     te = (F.col("te_union_coverage") >= TE_COVERAGE) & (F.col("te_union_covered_bp") >= TE_BASES) & ~F.coalesce("te_dominant_class", F.lit("")).isin(*NOT_TE) & (median.isNull() | (median >= TE_BASES))
-    calls = reps.select(*keys, F.when(te, "TE").otherwise("STRUCTURAL").alias("call")).join(placed, keys, "left")
+    need = PLACEMENT_SHARE * F.greatest(F.lit(1), F.col("alt_indel_reads"))
+    # Rows are reduced to what is asked of them before they are joined.
+    asked = ledger.select(F.col("tid").alias("_t"), F.col("chrom").alias("_c"), F.col("pos").alias("_p"), F.col("row_id").alias("_i"), "bp_left", "bp_right", need.alias("_need"), F.coalesce(te, F.lit(False)).alias("_te"))
+    reps = settle(asked.join(picked, F.expr("_t = tid and _c = chrom and _p = rep_pos and _i <=> rep_row")).select(*keys, "bp_left", "bp_right", "_need", "_te").dropDuplicates(keys))
+    wide = reps.filter("bp_left <> bp_right").select(*keys, F.col("bp_left").alias("_l"), F.col("bp_right").alias("_r"), "_need")
+    around = places.select(*keys, "pos").join(wide, keys).filter(F.col("pos").between(F.col("_l") - PLACEMENT_WINDOW, F.col("_r") + PLACEMENT_WINDOW))
+    near = rows.filter("bp_left = bp_right and bp_left >= 0").join(around, at).filter(F.col("alt_indel_reads") >= F.col("_need"))
+    placed = near.groupBy(*keys).agg(F.min_by("bp_left", F.struct(-F.col("alt_indel_reads"), -F.col("artifact"), F.col("pos"), F.col("row_id"))).alias("call_pos"))
+    calls = reps.select(*keys, F.when(F.col("_te"), "TE").otherwise("STRUCTURAL").alias("call")).join(placed, keys, "left")
     return loci.join(calls, keys, "left").select(*keys, "n_rows", "first_pos", "mean_e", "rank", "m", "selected", "rep_row", "call", F.coalesce("call_pos", F.lit(-1)).cast("long").alias("call_pos"))
 
 

@@ -248,6 +248,18 @@ def test_selection_rates_positions_and_not_rows(spark, monkeypatch):
     assert seen == [29, 29]
 
 
+def test_calls_settle_positions_and_not_rows(spark, monkeypatch):
+    seen, settle = [], S.settle
+    monkeypatch.setattr(S, "settle", lambda df: (seen.append(df.count()), settle(df))[1])
+    wide, near, few = dict(pos=1000, bp_left=900, bp_right=1100, mech_log_lr_vs_artifact=9.0, alt_indel_reads=4), dict(pos=1050, mech_log_lr_vs_artifact=3.0, alt_indel_reads=3), dict(pos=1090, mech_log_lr_vs_artifact=4.0, alt_indel_reads=1)
+    led = ledger(spark, *[near] * 10, *[wide] * 30, *[few] * 10, dict(pos=50_000, mech_log_lr_vs_artifact=-5.0))
+    selected = S.select_loci(led, 1.0)
+    assert sorted((r.n_rows, r.rep_row, r.selected, r.call, r.call_pos) for r in selected.collect()) == [(1, 50, False, None, -1), (50, 10, True, "TE", 1050)]
+    assert [(r.pos, r.bp_left, r.bp_right) for r in S.finalize(led, selected).collect()] == [(1050, 900, 1100)]
+    assert max(seen) == 4
+    assert chosen(spark, 1.0, dict(pos=1, row_id=None, mech_log_lr_vs_artifact=9.0))[None].call == "TE"
+
+
 def test_loci_window_positions_and_not_rows(spark, monkeypatch):
     seen, assign = [], S.islands.assign_islands
     monkeypatch.setattr(S.islands, "assign_islands", lambda df, *a, **k: (seen.append(df.count()), assign(df, *a, **k))[1])
